@@ -89,7 +89,7 @@ def pack(cut: DataFrame, rows: int, capacity: int = 2048, group_rows: int = 16_3
     """Pieces with sequence_id and offset; ``rows`` is about how many documents there are."""
     groups = max(1, -(-rows // group_rows))
 
-    def place(key, table: pa.Table) -> pa.Table:
+    def place(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         group = int(key[0].as_py())
         table = table.drop_columns(["group"]).sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending"), ("doc_tokens", "ascending")])
         # an order that has nothing to do with the sizes
