@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality
+from . import exact_dedup, mixing, packing, quality, suffix_array_dedup, suffix_tree_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_tree_dedup.drop_repeated_words(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_array_dedup.drop_repeated_bytes(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +52,8 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_tree_dedup": op1_suffix_tree_dedup,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op3_packing": op3_packing,
         "op9_quality_rules": op9_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
