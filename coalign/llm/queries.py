@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, suffix_array_dedup, suffix_tree_dedup
+from . import exact_dedup, mixing, packing, quality, suffix_array_dedup, suffix_tree_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op1_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_pages(warc.pages_to_warc(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_array_dedup.drop_repeated_bytes(_table(spark, sf_dir, "documents"))
     return found.select(
@@ -53,6 +57,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_tree_dedup": op1_suffix_tree_dedup,
+        "op2_arc_to_warc": op2_arc_to_warc,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op3_packing": op3_packing,
         "op9_quality_rules": op9_quality_rules,
@@ -102,5 +107,32 @@ FROM placed
 """
 
 
+SQL_OP2 = """
+WITH rows AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+last AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM rows)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM last
+"""
+
+#: Words of a document, windows of 13 by the words that follow, and the words covered by a window that a smaller document has.
+SQL_OP1 = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+word AS (SELECT doc_id, unnest(words) AS w, unnest(range(len(words))) AS i FROM docs),
+windows AS (
+  SELECT doc_id, i, string_agg(w, ' ') OVER following AS key, count(*) OVER following AS n FROM word
+  WINDOW following AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+judged AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY md5(key)) < doc_id AS hit FROM windows WHERE n = 13),
+covered AS (
+  SELECT w.doc_id, w.i, w.w,
+         coalesce(bool_or(j.hit) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM word w LEFT JOIN judged j USING (doc_id, i)),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS text FROM covered GROUP BY doc_id)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": SQL_OP6, "op7_mix_sources": SQL_OP7}
+    return {"op1_suffix_tree_dedup": SQL_OP1, "op2_arc_to_warc": SQL_OP2, "op6_exact_dedup": SQL_OP6, "op7_mix_sources": SQL_OP7}
