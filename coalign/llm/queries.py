@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, suffix_array_dedup, suffix_tree_dedup, warc
+from . import dart_minhash, exact_dedup, mixing, packing, quality, suffix_array_dedup, suffix_tree_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Query]:
         "op2_arc_to_warc": op2_arc_to_warc,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op3_packing": op3_packing,
+        "op8_dart_minhash": op8_dart_minhash,
         "op9_quality_rules": op9_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_mix_sources": op7_mix_sources,
