@@ -166,8 +166,10 @@ def _distinct(short: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _slices(short: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    if not len(short):
+        return
     part = (short >> np.uint64(32)).astype(np.int64)
-    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     yield from zip(part[begin].tolist(), begin.tolist(), np.append(begin[1:], len(part)).tolist(), strict=True)
 
 
