@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, exact_dedup, mixing, packing, quality, suffix_array_dedup, suffix_tree_dedup, warc
+from . import dart_minhash, exact_dedup, line_dedup, mixing, packing, quality, suffix_array_dedup, suffix_tree_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_tree_dedup": op1_suffix_tree_dedup,
@@ -65,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op3_packing": op3_packing,
         "op8_dart_minhash": op8_dart_minhash,
+        "op10_line_dedup": op10_line_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_mix_sources": op7_mix_sources,
