@@ -133,12 +133,13 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
-NODES = "key long, has_id boolean, node long, weight long, bands array<long>"
+NODES = "key long, has_id boolean, text_key long, node long, weight long, bands array<long>"
 HOT_ROWS, MOST_HOT = 1_000, 10_000
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(doc_key(id_col).alias("key"), F.col(id_col).isNotNull().alias("has_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(doc_key(id_col).alias("key"), F.col(id_col).isNotNull().alias("has_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
 def _cut_batch(text: pa.Array, block: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -158,12 +159,12 @@ def signed(docs: DataFrame, p: NearDuplicates, id_col: str, text_col: str) -> Da
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, raw, offsets in _cut_batch(batch.column(2), p.block_bytes):
+            for at, to, raw, offsets in _cut_batch(batch.column(3), p.block_bytes):
                 element, weight, doc, same = shingles(raw, offsets, p.shingle)
                 total = np.bincount(doc, weight, to - at).astype(np.int64)
                 keys = band_keys(signatures(element, weight, doc, to - at, p.coordinates), p.bands, p.rows)
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), p.bands).cast(pa.list_(pa.int64()))
-                columns = [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(same.view(np.int64), mask=total == 0), pa.array(total), bands]
+                columns = [*(c.slice(at, to - at) for c in batch.columns[:3]), pa.array(same.view(np.int64), mask=total == 0), pa.array(total), bands]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in NODES.split(", ")])
 
     return _blocks(docs, id_col, text_col).mapInArrow(sign, NODES)
@@ -279,7 +280,7 @@ def links(docs: DataFrame, buckets: DataFrame, texts: DataFrame, p: NearDuplicat
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (the smallest id of its class), class_size, kept.
+    """One row per row of ``docs``: doc_id, class_id (the smallest id of its class), class_size, kept, text_key (xxhash64 of the text).
 
     Documents are linked if the weighted Jaccard similarity of their shingles is at
     least ``p.similarity``; classes are what links connect. Texts with the same words
@@ -295,19 +296,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = cut(keyed.join(shared, "bucket").select("bucket", "node"))
     label = components(links(docs, buckets, texts.select("node", "key"), p, id_col, text_col))
 
-    member = rows.select("key", "has_id", "node").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    member = cut(member.select("key", "has_id", "class"))
+    member = rows.select("key", "has_id", "text_key", "node").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    member = cut(member.select("key", "has_id", "text_key", "class"))
     classes = cut(member.where("class is not null").groupBy("class").agg(F.min(F.struct("key", "has_id")).alias("least"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1"))
     # a class with over n / MOST_HOT rows is hot: there are at most MOST_HOT of them
     hot = F.col("class_size") > max(HOT_ROWS, rows.count() // MOST_HOT)
     named = member.join(F.broadcast(classes.where(hot)), "class", "left")
-    cold = named.where("class_size is null").select("key", "has_id", "class").join(classes.where(~hot), "class", "left")
+    cold = named.where("class_size is null").select("key", "has_id", "text_key", "class").join(classes.where(~hot), "class", "left")
     own = lambda key, has: F.when(F.col(has), F.col(key))
     return named.where("class_size is not null").unionByName(cold).select(
         own("key", "has_id").alias("doc_id"),
         F.when(F.col("class_size").isNull(), own("key", "has_id")).otherwise(own("least.key", "least.has_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
         (F.col("class_size").isNull() | (F.col("key") == F.col("least.key"))).alias("kept"),
+        "text_key",
     )
 
 

@@ -51,7 +51,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most_epochs: int = 2, seed: str = "mix"
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, text_key (xxhash64 of the text).
 
     ``size`` is the number of words (0 for a null or empty text), ``taken`` how many
     words the mix takes, whole epochs and the part of the last one together. Sources
@@ -66,6 +66,7 @@ def mix_sources(
             F.col(id_col).alias("doc_id"),
             F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("z")).alias("src"),
             F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"),
             F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key"),
         )
     )
@@ -84,4 +85,4 @@ def mix_sources(
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), budget - epochs * F.col("source_size") - F.col("before")))
-    return placed.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"))
+    return placed.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"), "text_key")

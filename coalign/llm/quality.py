@@ -137,6 +137,10 @@ def _reference(classes: np.ndarray, counts: dict[str, int], total: int, share: f
     return Reference(classes.astype(float), {w: i for i, w in enumerate(common)}, np.array([*found, total - sum(found)], float), total)
 
 
+def base_failed(n_words: int, n_repeat_words: int, rules: QualityRules) -> bool:
+    return n_words < rules.min_words or 100 * n_repeat_words > rules.max_repeat_percent * n_words
+
+
 def _lang_key(lang):
     return F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang")
 
@@ -248,12 +252,33 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for key, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n, chars, symbols, dups, repeats = base_metrics(text)
                 own = found.get(lang)
-                reference = own if own and own.total >= rules.min_reference_words else found[None]
-                far_c, far_w, bad = verdict(text, reference, rules)
-                failed = n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
+                far_c, far_w, bad = verdict(text, own if own and own.total >= rules.min_reference_words else found[None], rules)
+                failed = base_failed(n, repeats, rules)
                 out.append((key, n, chars, symbols, dups, repeats, failed, far_c, far_w, not failed and not bad))
             kinds = (pa.int64(),) * 6 + (pa.bool_(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in RESULT.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _lang_key(lang_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(score, RESULT)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns and without a join."""
+    found = references(docs, text_col, lang_col, rules)
+    n_columns, schema = len(docs.columns), docs.schema
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for lang, text in zip(batch.column(n_columns).to_pylist(), batch.column(n_columns + 1).to_pylist(), strict=True):
+                words = _WORD.findall(text)
+                ok = not base_failed(len(words), repeated_words(words), rules)
+                if ok:
+                    own = found.get(lang)
+                    ok = not verdict(text, own if own and own.total >= rules.min_reference_words else found[None], rules)[2]
+                good.append(ok)
+            rows = pa.RecordBatch.from_arrays(batch.columns[:n_columns], names=batch.schema.names[:n_columns])
+            yield rows.filter(pa.array(good, pa.bool_()))
+
+    rows = docs.select("*", _lang_key(lang_col).alias("__lang"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    return rows.mapInArrow(keep, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, exact_dedup, line_dedup, mixing, packing, quality, suffix_array_dedup, suffix_tree_dedup, warc
+from . import dart_minhash, exact_dedup, line_dedup, mixing, ngram_lm, packing, quality, suffix_array_dedup, suffix_tree_dedup, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,11 +37,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dart_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return dart_minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_suffix_tree_dedup": op1_suffix_tree_dedup,
@@ -71,6 +75,7 @@ def queries() -> dict[str, Query]:
         "op3_packing": op3_packing,
         "op8_dart_minhash": op8_dart_minhash,
         "op10_line_dedup": op10_line_dedup,
+        "op5_ngram_lm": op5_ngram_lm,
         "op9_quality_rules": op9_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_mix_sources": op7_mix_sources,
