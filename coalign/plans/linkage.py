@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coalign.operators import blocking, decide, keys, records
+from coalign.functions.vocabulary import KEY_TYPES
 from coalign.sources.scratch import cut
 
 
@@ -32,8 +33,23 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("entity_id", F.concat(F.lit("S"), F.col("src"), F.lit("-"), F.col("id")))
 
 
+_prepared: dict[tuple[str, str, str], tuple[DataFrame, ...]] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make) -> tuple[DataFrame, ...]:
+    """Stage tables (S05, S06) are made once for an application and an input."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _prepared:
+        _prepared[at] = make()
+    return _prepared[at]
+
+
 def registers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A and B, normalized, and the truth as (a, b)."""
+    return _once(spark, sf_dir, "registers", lambda: _registers(spark, sf_dir))
+
+
+def _registers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = raw_records(spark, sf_dir)
     reference = rows.where("src = 1")
     keep = reference.groupBy("country", "same").agg(F.min("id").alias("id")).select("id")
@@ -42,15 +58,36 @@ def registers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return cut(records.normalize(reference)), cut(records.normalize(others)), truth
 
 
-def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Scored and ranked candidate pairs with their records."""
-    ka, kb = map(cut, keys.side_keys(a, b))
-    return blocking.rank_and_prune(blocking.cheap_score(blocking.with_records(blocking.key_pairs(ka, kb), a, b)))
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The keys of A and of B."""
+
+    def make() -> tuple[DataFrame, ...]:
+        a, b, _ = registers(spark, sf_dir)
+        return tuple(map(cut, keys.side_keys(a, b)))
+
+    return _once(spark, sf_dir, "keys", make)
+
+
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs that share a key, with hits and the cheap score (rounded, so that ties are ties everywhere)."""
+
+    def make() -> tuple[DataFrame, ...]:
+        a, b, _ = registers(spark, sf_dir)
+        ka, kb = sides(spark, sf_dir)
+        rows = blocking.cheap_score(blocking.with_records(blocking.key_pairs(ka, kb), a, b))
+        return (cut(rows.select("country", "a", "b", *(f"k_{k}" for k in KEY_TYPES), F.round("cheap", 9).alias("cheap"))),)
+
+    return _once(spark, sf_dir, "scored", make)[0]
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked candidate pairs."""
+    return _once(spark, sf_dir, "candidates", lambda: (cut(blocking.rank_and_prune(scored_pairs(spark, sf_dir))),))[0]
 
 
 def match_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From documents to (source1_entity_id, matched_entity_ids), a row for each record of A."""
     a, b, _ = registers(spark, sf_dir)
-    scored = candidates(a, b).select("a", "b", F.least(F.col("cheap") / 2, F.lit(1.0)).alias("p"))
+    scored = candidates(spark, sf_dir).select("a", "b", F.least(F.col("cheap") / 2, F.lit(1.0)).alias("p"))
     chosen = decide.apply_thresholds(decide.one_to_one(scored), 0.3, 0.6, 0.4)
     return decide.id_lists(a.select(F.col("id").alias("a"), "entity_id"), chosen, b.select(F.col("id").alias("b"), F.col("entity_id").alias("b_entity_id")))

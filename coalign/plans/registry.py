@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from . import linkage
-
-Query = Callable[[SparkSession, str], DataFrame]
+from .queries import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {"er_match_list": linkage.match_list}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
