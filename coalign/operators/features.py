@@ -298,10 +298,10 @@ def target_encoding(rows: DataFrame, fold: str = "fold", y: str = "y") -> DataFr
     rows = rows.withColumn("freq_bucket", bucket)
     for name, group in (("te_country", "country"), ("te_freq", "freq_bucket")):
         by_fold = rows.groupBy(group, fold).agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n"))
-        whole = by_fold.groupBy(group).agg(F.sum("s").alias("S"), F.sum("n").alias("N"))
+        whole = by_fold.groupBy(group).agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
         mean = by_fold.agg((F.sum("s") / F.sum("n")).alias("m"))
         table = by_fold.join(whole, group).join(F.broadcast(mean), how="cross")
-        table = table.select(group, fold, F.when(F.col("N") > F.col("n"), (F.col("S") - F.col("s")) / (F.col("N") - F.col("n"))).otherwise(F.col("m")).alias(name))
+        table = table.select(group, fold, F.when(F.col("all_n") > F.col("n"), (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n"))).otherwise(F.col("m")).alias(name))
         rows = rows.join(table, [group, fold], "left")
     return rows
 

@@ -189,7 +189,7 @@ scored AS (
          ((l_suppkey * 31 + l_partkey * 17) % 5 = 0)::INT AS y, 2 + l_partkey % 2 AS src
   FROM lineitem GROUP BY l_suppkey, l_partkey),
 all_a AS (
-  SELECT s_suppkey AS a, n_name AS country, s_acctbal < 0 AS addr_empty, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE coalesce(n, 0) END AS ntrue
+  SELECT s_suppkey AS a, n_name AS country, s_acctbal < 0 AS addr_empty, CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE coalesce(n, 0) END::BIGINT AS ntrue
   FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT a, sum(y) AS n FROM scored GROUP BY a) t ON t.a = s_suppkey),
 labelled AS (SELECT s.* REPLACE (CASE WHEN s.a % 4 = 0 THEN 0 ELSE s.y END AS y) FROM scored s),
 best AS (SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY p DESC, a) AS nth FROM labelled) WHERE nth = 1)"""
@@ -199,6 +199,6 @@ def per_a(pred: str) -> str:
     """CTE ``per_a`` of the scores of a prediction."""
     return f"""
 per_a AS (
-  SELECT r.*, coalesce(npred, 0) AS npred, coalesce(tp, 0) AS tp,
+  SELECT r.*, coalesce(npred, 0) AS npred, coalesce(tp, 0)::BIGINT AS tp,
          CASE WHEN ntrue = 0 THEN (coalesce(npred, 0) = 0)::INT::DOUBLE ELSE 1.25 * coalesce(tp, 0) / (0.25 * ntrue + coalesce(npred, 0)) END AS f05
   FROM all_a r LEFT JOIN (SELECT a, count(*) AS npred, sum(y) AS tp FROM {pred} GROUP BY a) USING (a))"""

@@ -371,7 +371,7 @@ w AS (SELECT *, (SELECT min(abs(p - q)) FROM unnest(xi) t(p), unnest(yi) u(q)) A
 SELECT id, round(s / (len(xs) + len(ys) - s), 6) AS num_jac, s::DOUBLE AS num_inter, (xs[1] = ys[1])::INT::DOUBLE AS num_first_eq, list_contains(ys, xs[1])::INT::DOUBLE AS num_first_in,
   (s = 0)::INT::DOUBLE AS num_conf, len(xs)::DOUBLE AS num_na, len(ys)::DOUBLE AS num_nb, e::INT::DOUBLE AS num_edit1,
   (xi[1] <> yi[1] AND levenshtein(xs[1], ys[1]) = 1)::INT::DOUBLE AS num_first_edit1, round(ln(1 + abs(xi[1] - yi[1])), 6) AS num_first_logdiff,
-  round(abs(xi[1] - yi[1]) / greatest(xi[1], yi[1], 1), 6) AS num_first_reldiff, round(ln(1 + near), 6) AS num_min_logdiff, (near > 0 AND near <= 50 AND NOT e)::INT::DOUBLE AS num_near_shift
+  round(abs(xi[1] - yi[1]) / greatest(xi[1], yi[1], 1), 9) AS num_first_reldiff, round(ln(1 + near), 6) AS num_min_logdiff, (near > 0 AND near <= 50 AND NOT e)::INT::DOUBLE AS num_near_shift
 FROM w"""
 
 
@@ -382,7 +382,7 @@ def f19(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = o.select(key.alias("id"), *(c.alias(n) for n, c in lists.items()))
     rows = rows.withColumns({f"{s}_ints": F.transform(f"{s}_nums", lambda n: n.cast("bigint")) for s in "ab"})
     made = features.number_features()
-    return rows.withColumns(made).select("id", *(_r(c) for c in made))
+    return rows.withColumns(made).select("id", *(_r(c, 9 if c == "num_first_reldiff" else 6) for c in made))
 
 
 # Features of features, on figures that are the same in any engine
@@ -427,7 +427,7 @@ def _figures_query(name: str, made: dict, sql: dict[str, str]) -> None:
         columns = made(rows) if callable(made) else made
         return rows.withColumns(columns).select("a", "b", *(_r(c) for c in columns))
 
-    query(name, f"WITH {_FIGURES_SQL} SELECT a, b, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in sql.items()) + " FROM figures")(run)
+    query(name, f"WITH {_FIGURES_SQL} SELECT a, b, " + ", ".join(f"round({v}, 6) + 0 AS {k}" for k, v in sql.items()) + " FROM figures")(run)
 
 
 _figures_query("X01_interactions", lambda rows: features.interactions(rows.columns), _X01)
