@@ -12,10 +12,10 @@ a small factor, whatever the length; if a coordinate stays empty, the limit is d
 
 Signatures are joined by bands. Texts alike are one node from the start. A band key
 with many nodes is not turned into pairs: its nodes are compared with a leader, those
-unlike it with the next leader, and so on; what a leader leaves open is settled by the
-triangle inequality, weighted Jaccard distance being a metric. Compared pairs get
-their exact similarity from the whole texts' shingles, and classes are the connected
-components of the links.
+not connected with it by then with more leaders, and so on; what that leaves open is
+narrowed down by the triangle inequality, weighted Jaccard distance being a metric.
+Compared pairs get their exact similarity from the whole texts' shingles, and classes
+are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -227,58 +227,66 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _ranked(buckets: DataFrame) -> DataFrame:
+    """(bucket, node, score): a node's score is how many nodes its buckets hold. The middle of a group meets most of it, so it leads."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    score = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("score"))
+    return cut(buckets.join(score, "node"))
+
+
 def links(docs: DataFrame, buckets: DataFrame, texts: DataFrame, p: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
     """(a, b) such that all similar nodes that share a bucket are connected; ``buckets`` has (bucket, node), ``texts`` (node, key).
 
-    A pair of a bucket is met by one of its leaders, or one of them is like a leader
-    and the other isn't. If the two are alike then, the other is at most twice the
-    limit from that leader, and their distances from it differ by the limit at most.
+    In each round the nodes of a bucket are compared with its leaders; a node that is
+    then connected with one of them, here or by another bucket, is settled, the others
+    go on with more leaders. Two similar nodes that nothing has connected yet met some
+    leader together, one of them being connected with it; their distances from it
+    differ by no more than the limit, which leaves few pairs to compare.
     """
     limit = 1 - p.similarity + 1e-9
     wanted = texts.join(buckets.select("node").distinct(), "node", "left_semi")
     sets = cut(cells(docs, p, id_col, text_col, wanted.select("node", "key")))
-    seen = met = None
-    open_, leaders = buckets, 1
+    open_, leaders, seen, met = _ranked(buckets), 1, None, None
+    label = buckets.select("node", F.col("node").alias("class")).limit(0)
     while True:
         if leaders == 1:
-            chosen = open_.groupBy("bucket").agg(F.min("node").alias("leader"))
+            chosen = open_.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")).select("bucket", F.col("top.node").alias("leader"))
         else:
-            chosen = open_.withColumn("nth", F.row_number().over(W.partitionBy("bucket").orderBy("node"))).where(F.col("nth") <= leaders).select("bucket", F.col("node").alias("leader"))
+            best = W.partitionBy("bucket").orderBy(F.desc("score"), "node")
+            chosen = open_.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= leaders).select("bucket", F.col("node").alias("leader"))
         pairs = cut(open_.join(chosen, "bucket").where("node <> leader"))
         fresh = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
         if seen is not None:
             fresh = fresh.join(seen, ["a", "b"], "left_anti")
-        if fresh.isEmpty():
-            break
         found = cut(distances(fresh, sets))
         seen = found if seen is None else cut(seen.unionByName(found))
-        judged = pairs.withColumns({"a": F.least("leader", "node"), "b": F.greatest("leader", "node")}).join(seen, ["a", "b"]).select("bucket", "node", "leader", "distance")
-        judged = cut(judged)
+        judged = pairs.withColumns({"a": F.least("leader", "node"), "b": F.greatest("leader", "node")}).join(seen, ["a", "b"])
+        judged = cut(judged.select("bucket", "node", "score", "leader", "distance"))
         met = judged if met is None else cut(met.unionByName(judged))
-        # leaders have met all others of their bucket
-        fails = judged.groupBy("bucket", "node").agg(F.min("distance").alias("least")).where(F.col("least") > limit).select("bucket", "node")
-        fails = fails.join(chosen.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
-        more = fails.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        open_ = cut(fails.join(more, "bucket"))
-        leaders *= 2
+        near = cut(seen.where(F.col("distance") <= limit).select("a", "b"))
+        label = components(near)
+        settled = _labelled(judged, label).groupBy("bucket", "node", "score").agg(F.max((F.col("class_node") == F.col("class_leader")).cast("int")).alias("settled"))
+        rest = settled.where("settled = 0").select("bucket", "node", "score").join(chosen.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+        more = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+        open_ = cut(rest.join(more, "bucket"))
         if open_.isEmpty():
             break
-    if seen is None:
-        return buckets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    near = cut(seen.where(F.col("distance") <= limit).select("a", "b"))
-    # What is left: one is like the leader, the other within twice the limit, and nothing has connected them yet.
-    ring = met.where((F.col("distance") > limit) & (F.col("distance") <= 2 * limit)).select("bucket", "leader", F.col("node").alias("y"), F.col("distance").alias("dy"))
-    if ring.isEmpty():
-        return near
-    label = components(near)
-    inner = met.where(F.col("distance") <= limit).select("bucket", "leader", F.col("node").alias("x"), F.col("distance").alias("dx"))
-    apart = ring.join(inner, ["bucket", "leader"]).where(F.col("dy") - F.col("dx") <= limit)
+        leaders *= 4
+    known = _labelled(met.drop("score"), label)
+    out = known.where("class_node <> class_leader").select("bucket", "leader", F.col("node").alias("y"), F.col("distance").alias("dy"))
+    inside = known.where("class_node = class_leader").select("bucket", "leader", F.col("node").alias("x"), F.col("distance").alias("dx"))
+    apart = out.join(inside, ["bucket", "leader"]).where(F.abs(F.col("dy") - F.col("dx")) <= limit)
     apart = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-    la, lb = (label.select(F.col("node").alias(n), F.col("class").alias(f"class_{n}")) for n in "ab")
-    apart = apart.join(la, "a", "left").join(lb, "b", "left").where("class_a is null or class_b is null or class_a <> class_b").select("a", "b")
     return cut(near.unionByName(distances(apart, sets).where(F.col("distance") <= limit).select("a", "b")))
 
 
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Adds class_node and class_leader to (node, leader)."""
+    for c in ("node", "leader"):
+        rows = rows.join(label.select(F.col("node").alias(c), F.col("class").alias(f"class_{c}")), c, "left").withColumn(f"class_{c}", F.coalesce(f"class_{c}", c))
+    return rows
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: NearDuplicates = NearDuplicates()) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the smallest id of its class), class_size, kept, text_key (xxhash64 of the text).
 
