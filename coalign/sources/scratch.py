@@ -38,14 +38,13 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """The same rows, read back from a table in the shared scratch folder.
 
     This cuts the lineage: what comes later does not depend on shuffle files of
-    executors that may be lost, and the shuffle files so far can be dropped.
+    executors that may be lost. Shuffle files of steps that are done are dropped first.
     """
     spark = df.sparkSession
+    free_shuffles(spark)  # of the steps before this one
     path, schema = f"{scratch_dir(spark)}/{uuid.uuid4().hex}", df.schema
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    del df, writer
-    free_shuffles(spark)
     return spark.read.schema(schema).parquet(path)
 
 
