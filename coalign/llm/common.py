@@ -1,69 +1,24 @@
-"""What several operators share: white space, scratch tables, the order of documents, chunks of a corpus."""
+"""What several operators share: white space, the order of documents, chunks of a corpus; scratch tables for all of them."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import struct
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coalign.sources.scratch import cut, free_shuffles
+
+__all__ = ["cut", "free_shuffles"]
+
 #: White space of every operator here: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A document without an id comes after all others.
 NO_ID = 2**63 - 1
 
-_own: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``; a temporary one only where that is unset.
-
-    It is removed when the driver ends.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="coalign-")
-        _own[app] = f"{base.rstrip('/')}/coalign-{app}"
-        atexit.register(_remove, spark, _own[app])
-    return _own[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session has ended already
-        pass
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a table in the shared scratch folder.
-
-    This cuts the lineage: what comes later does not depend on shuffle files of
-    executors that may be lost, and the shuffle files so far can be dropped.
-    """
-    spark = df.sparkSession
-    path, schema = f"{scratch_dir(spark)}/{uuid.uuid4().hex}", df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    free_shuffles(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files that no live DataFrame refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
 
 def doc_key(id_col: str) -> Column:
     """The id as an order in which a missing id comes last."""
@@ -208,16 +163,3 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         np.cumsum(_BYTE[raw[lo:hi]] * powers(hi - lo), out=sums[1:])
         out[i : i + step] = (sums[e - lo] - sums[s - lo]) * powers(hi - lo, "down")[s - lo]
     return mix(out + (ends - starts).astype(np.uint64))
-
-
-def varint_free(a: np.ndarray) -> bytes:
-    """Non-negative integers in the narrowest of 1, 2, 4 or 8 bytes, behind one byte that says which."""
-    most = int(a.max()) if len(a) else 0
-    for kind in (np.uint8, np.uint16, np.uint32, np.uint64):
-        if most <= np.iinfo(kind).max:
-            return struct.pack("<B", np.dtype(kind).itemsize) + a.astype(kind).tobytes()
-    raise OverflowError(most)
-
-
-def read_varint_free(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, f"<u{b[0]}", offset=1)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_shuffles
 
 ARCHIVE = "archive string, body binary"
 #: Fixed field lists of the two versions of the format.
@@ -316,4 +316,6 @@ def pages_to_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     stays null. An empty table gives no archive.
     """
     legacy = cut(write_arc(pages, id_col, url_col, html_col))
-    return cut(convert(legacy, revisits(cut(index_arc(legacy)), least_bytes)))
+    archives = cut(convert(legacy, revisits(cut(index_arc(legacy)), least_bytes)))
+    free_shuffles(pages.sparkSession)
+    return archives
