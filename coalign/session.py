@@ -7,6 +7,15 @@ import os
 from pyspark.sql import SparkSession
 
 
+def make_importable(spark: SparkSession) -> None:
+    """Lets Python workers on machines that share this folder import the package, wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def local_session(app: str = "coalign", cpus: int | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
     """A local session with adaptive execution on; on a cluster the submitted session is used instead."""
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
