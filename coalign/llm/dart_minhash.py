@@ -11,15 +11,16 @@ of the document, so a signature costs about as many darts as it has coordinates
 a small factor, whatever the length; if a coordinate stays empty, the limit is doubled.
 
 Signatures are joined by bands. Texts alike are one node from the start. A band key
-with many nodes is not turned into pairs: its nodes are compared with a leader, those
-not connected with it by then with more leaders, and so on; what that leaves open is
-narrowed down by the triangle inequality, weighted Jaccard distance being a metric.
+with many nodes is not turned into pairs: its nodes are compared with a leader. What
+that leaves open is narrowed down by the triangle inequality, weighted Jaccard distance
+being a metric, and by the rarest shingles, of which similar texts share one.
 Compared pairs get their exact similarity from the whole texts' shingles, and classes
 are the connected components of the links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -237,47 +238,61 @@ def _ranked(buckets: DataFrame) -> DataFrame:
 def links(docs: DataFrame, buckets: DataFrame, texts: DataFrame, p: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
     """(a, b) such that all similar nodes that share a bucket are connected; ``buckets`` has (bucket, node), ``texts`` (node, key).
 
-    In each round the nodes of a bucket are compared with its leaders; a node that is
-    then connected with one of them, here or by another bucket, is settled, the others
-    go on with more leaders. Two similar nodes that nothing has connected yet met some
-    leader together, one of them being connected with it; their distances from it
-    differ by no more than the limit, which leaves few pairs to compare.
+    The nodes of a bucket are compared with its leader; a node that is then connected
+    with it, here or by another bucket, is settled there. Of two similar nodes that
+    nothing has connected, either one is settled and their distances from the leader
+    differ by no more than the limit, or neither is; ``open_pairs`` finds them.
     """
     limit = 1 - p.similarity + 1e-9
     wanted = texts.join(buckets.select("node").distinct(), "node", "left_semi")
     sets = cut(cells(docs, p, id_col, text_col, wanted.select("node", "key")))
-    open_, leaders, seen, met = _ranked(buckets), 1, None, None
-    label = buckets.select("node", F.col("node").alias("class")).limit(0)
-    while True:
-        if leaders == 1:
-            chosen = open_.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")).select("bucket", F.col("top.node").alias("leader"))
-        else:
-            best = W.partitionBy("bucket").orderBy(F.desc("score"), "node")
-            chosen = open_.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= leaders).select("bucket", F.col("node").alias("leader"))
-        pairs = cut(open_.join(chosen, "bucket").where("node <> leader"))
-        fresh = pairs.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-        if seen is not None:
-            fresh = fresh.join(seen, ["a", "b"], "left_anti")
-        found = cut(distances(fresh, sets))
-        seen = found if seen is None else cut(seen.unionByName(found))
-        judged = pairs.withColumns({"a": F.least("leader", "node"), "b": F.greatest("leader", "node")}).join(seen, ["a", "b"])
-        judged = cut(judged.select("bucket", "node", "score", "leader", "distance"))
-        met = judged if met is None else cut(met.unionByName(judged))
-        near = cut(seen.where(F.col("distance") <= limit).select("a", "b"))
-        label = components(near)
-        settled = _labelled(judged, label).groupBy("bucket", "node", "score").agg(F.max((F.col("class_node") == F.col("class_leader")).cast("int")).alias("settled"))
-        rest = settled.where("settled = 0").select("bucket", "node", "score").join(chosen.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
-        more = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        open_ = cut(rest.join(more, "bucket"))
-        if open_.isEmpty():
-            break
-        leaders *= 4
-    known = _labelled(met.drop("score"), label)
-    out = known.where("class_node <> class_leader").select("bucket", "leader", F.col("node").alias("y"), F.col("distance").alias("dy"))
-    inside = known.where("class_node = class_leader").select("bucket", "leader", F.col("node").alias("x"), F.col("distance").alias("dx"))
-    apart = out.join(inside, ["bucket", "leader"]).where(F.abs(F.col("dy") - F.col("dx")) <= limit)
-    apart = apart.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-    return cut(near.unionByName(distances(apart, sets).where(F.col("distance") <= limit).select("a", "b")))
+    ranked = _ranked(buckets)
+    chosen = ranked.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")).select("bucket", F.col("top.node").alias("leader"))
+    pairs = cut(ranked.join(chosen, "bucket").where("node <> leader").select("bucket", "node", "leader"))
+    ordered = {"a": F.least("leader", "node"), "b": F.greatest("leader", "node")}
+    seen = cut(distances(pairs.select(*(c.alias(n) for n, c in ordered.items())).distinct(), sets))
+    near = cut(seen.where(F.col("distance") <= limit).select("a", "b"))
+    met = _labelled(pairs.withColumns(ordered).join(seen, ["a", "b"]).select("bucket", "node", "leader", "distance"), components(near))
+    met = cut(met.select("bucket", "node", "distance", "class_node", (F.col("class_node") == F.col("class_leader")).alias("settled")))
+    inside = met.where("settled").select("bucket", F.col("node").alias("x"), F.col("distance").alias("dx"), F.col("class_node").alias("cx"))
+    others = met.select(F.col("bucket").alias("other"), F.col("node").alias("y"), F.col("distance").alias("dy"), F.col("class_node").alias("cy"))
+    close = (F.col("bucket") == F.col("other")) & (F.col("cx") != F.col("cy")) & (F.abs(F.col("dy") - F.col("dx")) <= limit)
+    # Which nodes may still be alike: the unsettled ones, and both sides of what the distances leave open. They are named, not paired.
+    rest = met.where("not settled").select("node").unionByName(inside.join(others, close, "left_semi").select(F.col("x").alias("node")))
+    rest = rest.unionByName(others.join(inside, close, "left_semi").select(F.col("y").alias("node"))).distinct()
+    named = met.select("node", F.col("class_node").alias("class")).distinct().join(rest, "node", "left_semi")
+    more = open_pairs(sets.join(named, "node"), p).join(seen, ["a", "b"], "left_anti")
+    return cut(near.unionByName(distances(more, sets).where(F.col("distance") <= limit).select("a", "b")))
+
+
+def open_pairs(sets: DataFrame, p: NearDuplicates) -> DataFrame:
+    """(a, b) of all nodes (node, cells, class) of different classes whose cells can be similar, by their rarest cells.
+
+    Two sets of a similarity of t at least share one of the n - ceil(t n) + 1 rarest
+    cells of each, n being its size. A passage that many documents have is not among
+    the rarest cells of any of them unless it is nearly all of it, so documents that
+    have only that in common don't meet.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                cell = np.frombuffer(blob.as_buffer(), np.uint32).astype(np.int64)
+                # equal hashes of one document are cells of their own
+                nth = np.arange(len(cell)) - np.searchsorted(cell, cell)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), node)), pa.array(np.full(len(cell), len(cell))), pa.array(cell + (nth << 32))], names=["node", "n", "cell"])
+
+    rows = cut(sets.select("node", "cells").mapInArrow(spread, "node long, n long, cell long"))
+    frequency = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # a cell that one node only has comes first but joins nothing: it is counted, not ranked
+    lonely = rows.join(frequency, "cell", "left_anti").groupBy("node").agg(F.count(F.lit(1)).alias("lonely"))
+    rank = F.row_number().over(W.partitionBy("node").orderBy("df", "cell")) + F.coalesce("lonely", F.lit(0))
+    taken = F.col("n") - F.ceil(F.col("n") * p.similarity - 1e-9) + 1
+    prefix = rows.join(frequency, "cell").join(lonely, "node", "left").withColumn("rank", rank).where(F.col("rank") <= taken)
+    prefix = cut(prefix.join(sets.select("node", "class"), "node").select("cell", "node", "n", "class"))
+    left, right = (prefix.select(F.col("cell").alias(f"cell_{s}"), F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("class").alias(f"class_{s}")) for s in "ab")
+    alike = (F.col("cell_a") == F.col("cell_b")) & (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b")) & (F.col("n_a") >= p.similarity * F.col("n_b") - 1e-9) & (F.col("n_b") >= p.similarity * F.col("n_a") - 1e-9)
+    return left.join(right, alike).select("a", "b").distinct()
 
 
 def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
@@ -298,8 +313,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id of a class, each is marked as kept.
     """
     rows = cut(signed(docs, p, id_col, text_col))
-    texts = cut(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands")))
-    keyed = texts.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
+    texts = cut(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("weight").alias("weight")))
+    # Similar documents have similar weights: their sizes, on a scale of the limit (a little wider, for rounding), differ by one at most. So each takes
+    # part under its size and the next, and texts of other lengths that share a passage don't meet at all.
+    size = F.floor(F.log("weight") / -math.log(p.similarity - 0.005)).cast("int")
+    keyed = texts.select("node", F.explode(F.array(size, size + 1)).alias("size"), "bands").select("node", "size", F.posexplode("bands").alias("band", "value"))
+    keyed = keyed.select("node", F.xxhash64("band", "value", "size").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("bucket")
     buckets = cut(keyed.join(shared, "bucket").select("bucket", "node"))
     label = components(links(docs, buckets, texts.select("node", "key"), p, id_col, text_col))
