@@ -41,7 +41,7 @@ CHUNK_SCHEMA = "chunk long, n_docs int, body binary"
 def _pack(rows: list[pa.RecordBatch]) -> bytes:
     table = pa.Table.from_batches(rows)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         out.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
 
