@@ -509,19 +509,28 @@ ei AS (SELECT *, min(CASE WHEN f = bf THEN k END) OVER (PARTITION BY a) AS kb FR
 chosen AS (SELECT * FROM ei WHERE bf > p0 AND k <= kb AND m >= 0.3)"""
 
 
-@query("D03_expected_f05", f"WITH {SCORED}, {_EXPECTED} SELECT a, b, k, round(f, 6) AS f FROM chosen")
-def d03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = decide.one_to_one(_labelled(spark, sf_dir)[0]).where("b % 40 = a % 40")
-    chosen = decide.expected_f05(few, 0.02, 0.3)
+def _expected(pairs: DataFrame) -> DataFrame:
+    chosen = decide.expected_f05(pairs, 0.02, 0.3)
     # the figure that the choice went by, from the rows chosen among
     from pyspark.sql import Window as W
 
     by = W.partitionBy("a").orderBy(F.desc("p"), "b")
     value = 1.25 * F.sum("p").over(by.rowsBetween(W.unboundedPreceding, 0)) / (0.25 * F.sum("p").over(W.partitionBy("a")) / (1 - 0.02) + F.row_number().over(by))
-    shown = few.withColumns({"k": F.row_number().over(by), "f": F.round(value, 6)})
+    shown = pairs.withColumns({"k": F.row_number().over(by), "f": F.round(value, 6)})
     return shown.join(chosen.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", "k", "f")
 
 
+#: On a sample of the pairs, which its SQL has as well.
+@query("D03_expected_f05", f"WITH {SCORED}, {_EXPECTED} SELECT a, b, k, round(f, 6) AS f FROM chosen")
+def d03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _expected(decide.one_to_one(_labelled(spark, sf_dir)[0]).where("b % 40 = a % 40"))
+
+
+@query("D03_expected_f05_whole")
+def d03_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _expected(decide.one_to_one(_labelled(spark, sf_dir)[0]))
+
+
 @query("D04_macro_f05", f"WITH {SCORED}, {_THRESHOLDS}, {per_a('chosen')} SELECT round(avg(f05), 9) AS macro_f05 FROM per_a")
 def d04(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, all_a = _labelled(spark, sf_dir)
@@ -658,13 +667,27 @@ FROM r"""
 
 
 def _p1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _labelled(spark, sf_dir)[0].where("b % 10 = a % 10").select("a", "b", F.col("p").alias("p1"), "src")
+    return _labelled(spark, sf_dir)[0].select("a", "b", F.col("p").alias("p1"), "src")
+
+
+def _sample(p1: DataFrame) -> DataFrame:
+    """The pairs that the SQL of K01, K03 and K04 is about."""
+    return p1.where("b % 10 = a % 10")
+
+
+def _best_others(p1: DataFrame) -> DataFrame:
+    rows = stack.ranks(p1.drop("src"))
+    return rows.select("a", "b", "r_a", "r_b", _r("psum_a"), "n50_a", _r("pother_a"), _r("pother_b"), "partner1", "partner2", _r("ppartner2"))
 
 
 @query("K01_K03_best_others", _BEST_OTHERS)
 def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stack.ranks(_p1(spark, sf_dir).drop("src"))
-    return rows.select("a", "b", "r_a", "r_b", _r("psum_a"), "n50_a", _r("pother_a"), _r("pother_b"), "partner1", "partner2", _r("ppartner2"))
+    return _best_others(_sample(_p1(spark, sf_dir)))
+
+
+@query("K01_K03_best_others_whole")
+def k01_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best_others(_p1(spark, sf_dir))
 
 
 _COMPETITORS = f"""{_P1},
@@ -680,14 +703,22 @@ SELECT a, b, own_same_src::BIGINT AS own_same_src, own_total::BIGINT AS own_tota
   count(*) FILTER (p1 > 0.2) OVER (PARTITION BY b) AS n_amb_b, round(sum(p1) OVER (PARTITION BY b), 6) AS psum_b FROM j"""
 
 
-@query("K04_competitors", _COMPETITORS)
-def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _p1(spark, sf_dir)
+def _competitors(rows: DataFrame) -> DataFrame:
     out = stack.competitors(rows.drop("src"), rows.select("b", "src").distinct())
     counts = ("own_same_src", "own_total", "comp_same_src", "comp_total", "same_src_diff", "total_diff")
     return out.select("a", "b", *(F.col(c).cast("long").alias(c) for c in counts), _r("own_mass_same_src"), _r("comp_mass_same_src"), "no_comp", "n_amb_b", _r("psum_b"))
 
 
+@query("K04_competitors", _COMPETITORS)
+def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _competitors(_sample(_p1(spark, sf_dir)))
+
+
+@query("K04_competitors_whole")
+def k04_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _competitors(_p1(spark, sf_dir))
+
+
 @query("K02_K05_cluster_features")
 def k05(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, b, _ = registers(spark, sf_dir)
