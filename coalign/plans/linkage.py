@@ -6,10 +6,18 @@ address. Sources 0 to 9 are the reference register, in which records alike in
 country and the first 60 characters of the text count once; 10 to 14 and 15 to 19
 are the two noisy registers. Records of the registers that agree in those are the
 truth.
+
+That is what SQL checks. Within ``on_whole_texts`` the address is the whole rest,
+records are alike if their whole texts are, and no row is left out: a null text has
+an empty name and address and is like no other, null languages are a country of
+their own, and a null source is of the reference register.
 """
 
 from __future__ import annotations
 
+import functools
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,23 +30,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_whole: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+def on_whole_texts(query):
+    """The query over registers of all rows and their whole texts."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = _whole.set(True)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _whole.reset(before)
+
+    return run
+
+
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, entity_id, country, business_name, business_address, src, same): ``same`` is what the truth goes by."""
-    docs = table(spark, sf_dir, "documents").where("text is not null and lang is not null and source is not null")
+    docs = table(spark, sf_dir, "documents")
+    if _whole.get():
+        same = F.coalesce(F.sha2("text", 256), F.concat(F.lit("null "), F.col("doc_id")))
+        docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "source", same.alias("same"), F.coalesce("text", F.lit("")).alias("text"))
+        width = ""
+    else:
+        docs = docs.where("text is not null and lang is not null and source is not null").withColumn("same", F.substring("text", 1, 60))
+        width = ", 200"
     number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
     src = F.when(number < 10, 1).when(number < 15, 2).otherwise(3)
     first = F.substring_index("text", "\n", 1)
-    rest = F.replace(F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2, 200)"), F.lit("\n"), F.lit(","))
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("country"), first.alias("business_name"), rest.alias("business_address"), src.alias("src"), F.substring("text", 1, 60).alias("same"))
+    rest = F.replace(F.expr(f"substring(text, length(substring_index(text, '\n', 1)) + 2{width})"), F.lit("\n"), F.lit(","))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("country"), first.alias("business_name"), rest.alias("business_address"), src.alias("src"), "same")
     return rows.withColumn("entity_id", F.concat(F.lit("S"), F.col("src"), F.lit("-"), F.col("id")))
 
 
-_prepared: dict[tuple[str, str, str], tuple[DataFrame, ...]] = {}
+_prepared: dict[tuple[str, str, str, bool], tuple[DataFrame, ...]] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make) -> tuple[DataFrame, ...]:
     """Stage tables (S05, S06) are made once for an application and an input."""
-    at = (spark.sparkContext.applicationId, sf_dir, name)
+    at = (spark.sparkContext.applicationId, sf_dir, name, _whole.get())
     if at not in _prepared:
         _prepared[at] = make()
     return _prepared[at]

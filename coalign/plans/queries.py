@@ -1017,3 +1017,15 @@ def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("er_match_list")
 def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.match_list(spark, sf_dir)
+
+
+#: Queries over the registers. Those with SQL keep its prefixes, and others of the same name with _whole take whole texts; those without SQL always do.
+_OF_REGISTERS = [
+    "S05_registers", "L02_truth_pairs", "M02_skeleton_text", "B01_name_frequency", "B02_rarest_tokens", "B03_keys_t", "B04_keys_b", "B05_keys_c", "B05_keys_p", "B05_keys_s", "B06_keys_a", "B07_keys_d",
+    "B08_keys_x", "B09_keys_y", "B10_keys_e", "B11_all_keys", "B12_block_sizes", "B12_B13_capped_keys", "B14_key_pairs", "B15_sample", "B16_cheap_score", "B20_weighted_overlap", "B21_pruned", "B19_recall_at",
+    "B23_blocking_report", "F25_context", "F01_inverse_frequency", "F06_core_frequency", "F08_F09_set_features", "F10_F11_unmatched_tokens", "F24_all_features", "F15_jaro_winkler", "F14_string_ratios",
+    "F16_F18_F22_plain_features", "X06_extended_features", "S17_candidate_lists", "K02_K05_cluster_features", "M05_component_aliases", "M05_M06_replaced_components", "M07_insertion_rates", "M10_over_representation", "M11_unseen_countries", "R03_worst_pairs",
+    "L01_folds", "L03_labels", "L04_L07_out_of_fold", "B17_B18_learned_ranker", "E03_E04_blend", "er_match_list",
+]
+for _name in _OF_REGISTERS:
+    QUERIES[f"{_name}_whole" if _name in SQL else _name] = linkage.on_whole_texts(QUERIES[_name])

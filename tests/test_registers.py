@@ -1,0 +1,42 @@
+"""The registers of whole texts."""
+
+import pytest
+
+from coalign.plans import queries
+
+HEAD = "name of a firm\n" + "word " * 60
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    at = str(tmp_path_factory.mktemp("documents"))
+    rows = [
+        (1, HEAD + "first 4711", "en", "s1"),
+        (2, HEAD + "second 4712", "en", "s2"),
+        (3, HEAD + "first 4711", "en", "s3"),
+        (4, HEAD + "first 4711", "en", "s12"),
+        (5, HEAD + "other 4713", "en", "s16"),
+        (6, None, "en", "s1"),
+        (7, None, "en", "s12"),
+        (8, "no language\nx", None, "s12"),
+        (9, "no source\nx", "en", None),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
+    return at
+
+
+def test_registers(spark, folder):
+    got = {r.id: r for r in queries.QUERIES["S05_registers_whole"](spark, folder).collect()}
+    # 3 is a copy of 1; 2 differs from it after more than 200 characters only
+    assert set(got) == {1, 2, 4, 5, 6, 7, 8, 9}
+    assert got[1].addr.endswith("4711") and got[2].addr.endswith("4712")
+    assert (got[6].name_norm, got[6].addr, got[8].country, got[9].src) == ("", "", "", 1)
+
+
+def test_truth(spark, folder):
+    assert [tuple(r) for r in queries.QUERIES["L02_truth_pairs_whole"](spark, folder).collect()] == [(1, 4)]
+
+
+def test_match_list_has_all_records(spark, folder):
+    rows = {r.source1_entity_id: r.matched_entity_ids for r in queries.QUERIES["er_match_list"](spark, folder).collect()}
+    assert set(rows) == {"S1-1", "S1-2", "S1-6", "S1-9"} and "S2-4" in rows["S1-1"]
