@@ -1,11 +1,11 @@
 """An interpolated modified Kneser-Ney bigram model, counted in Spark and looked up in sorted hash arrays.
 
 Training: chunks exchange the hashes of their distinct bigrams; each part of the hash
-space adds up its bigrams, keeps those seen at least twice as a sorted array with
-their counts, and tells the chunks which bigrams to count as types. Chunks then
+space adds up its bigrams, keeps them (without ``singletons`` those seen at least twice) as a sorted array
+with their counts, and tells the chunks which bigrams to count as types. Chunks then
 exchange their words with counts, with the types they end and begin, and each part
 keeps a sorted array of words with count, continuation count and backoff weight.
-Bigrams seen once are not stored; their mass is in the backoff weight, so every
+The mass of bigrams that are not stored is in the backoff weight, so every
 distribution still sums to one.
 
 Scoring: chunks send their distinct words and bigrams to the parts; a worker writes
@@ -41,6 +41,8 @@ MODEL = -1  # the chunk number of rows that belong to the model
 class LmRules:
     folds: int = 7
     held_out: int = 2
+    #: Stores bigrams seen once as well; else their mass is left to the backoff.
+    singletons: bool = False
     chunk_bytes: int = 8 << 20
     part_bytes: int = 8 << 20
 
@@ -152,7 +154,7 @@ def _times(a: np.ndarray) -> list[int]:
 def count_bigrams(chunks: DataFrame, rules: LmRules, parts: int) -> DataFrame:
     """Kind 0, by chunk: for each distinct bigram 1, 2 or 3 (or more) if the chunk is to count it as a type seen so often, else 0.
 
-    Kind 1 with chunk ``MODEL``: the sorted array of bigrams seen twice or more, and
+    Kind 1 with chunk ``MODEL``: the sorted array of bigrams to store, and
     kind 2: the numbers of types by count.
     """
 
@@ -174,8 +176,8 @@ def count_bigrams(chunks: DataFrame, rules: LmRules, parts: int) -> DataFrame:
         bounds = np.cumsum([0, *map(len, rest)]).tolist()
         p = key[0].as_py()
         rows = [(p, c, 0, _zip(owner[s:e])) for c, s, e in zip(table["chunk"].to_pylist(), bounds, bounds[1:], strict=False)]
-        stored = times > 1
-        rows += [(p, MODEL, 1, _zip(value[stored], times[stored])), (p, MODEL, 2, _zip(np.array([*_times(times), len(times)], np.int64)))]
+        stored = times > (0 if rules.singletons else 1)
+        rows += [(p, MODEL, 1, _zip(planes(value[stored], 5), times[stored])), (p, MODEL, 2, _zip(np.array([*_times(times), len(times)], np.int64)))]
         return pa.Table.from_batches([_blobs(rows)])
 
     return chunks.mapInArrow(send, BLOB).groupBy("part").applyInArrow(add, BLOB)
@@ -213,8 +215,8 @@ def count_words(chunks: DataFrame, owned: DataFrame, rules: LmRules, parts: int,
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         got = [_unzip(b) for b in table["body"].to_pylist()]
         value, (times, ends, one, two, more), _, _ = _sums(np.concatenate([from_planes(g[0]) for g in got]), *(np.concatenate([g[i] for g in got]) for i in range(1, 6)))
-        # bigrams seen once aren't stored: all of their mass backs off
-        backoff = (one + bigram.two * two + bigram.more * more) / times
+        # of bigrams that aren't stored all mass backs off
+        backoff = ((bigram.one if rules.singletons else 1.0) * one + bigram.two * two + bigram.more * more) / times
         real = value != START
         p = key[0].as_py()
         numbers = np.array([*_times(ends[real]), int((ends[real] > 2).sum()), int(times[real].sum()), int(real.sum())], np.int64)
@@ -294,6 +296,8 @@ def look_up(chunks: DataFrame, model: Model, rules: LmRules) -> DataFrame:
             return asked
         kind, part = asked["kind"][0].as_py(), asked["part"][0].as_py()
         stored = _unzip(own["body"][0].as_py()) if own.num_rows else [np.zeros(0, np.uint64)] * (4 if kind == 0 else 2)
+        if kind == 1 and own.num_rows:
+            stored[0] = from_planes(stored[0], 5)
         out: list[tuple] = []
         with tempfile.TemporaryDirectory() as folder:
             keys, *values = (_mapped(folder, str(i), a) for i, a in enumerate(stored))

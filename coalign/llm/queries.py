@@ -64,7 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"))
+    return ngram_lm.score_documents(_table(spark, sf_dir, "documents"), rules=ngram_lm.LmRules(singletons=True))
 
 
 def queries() -> dict[str, Query]:
