@@ -59,7 +59,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    found = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"), rules=line_dedup.LineRules(least_words=1))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
