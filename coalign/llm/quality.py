@@ -9,7 +9,7 @@ the second pass counts the candidates over everything.
 
 A short document scatters around the reference: a histogram of n draws over k bins
 has an expected divergence of about (k - 1) / (2 n) nats. The limits are widened by
-``noise`` times that, and documents below ``min_chars`` or ``min_words`` are not
+``noise`` times that, for the document and for its language's reference, and documents below ``min_chars`` or ``min_words`` are not
 judged on the histogram in question at all.
 """
 
@@ -46,7 +46,7 @@ class QualityRules:
     min_common_words: int = 50
     noise: float = 0.25
     share: float = 0.002
-    #: A language is a reference of its own from this many words on; below, documents are held against all languages together.
+    #: Has no effect: every language is its own reference at every size. Callers that set it still can.
     min_reference_words: int = 20_000
 
 
@@ -215,21 +215,23 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return out
 
 
-def verdict(text: str, reference: Reference, rules: QualityRules = QualityRules()) -> tuple[float | None, float | None, bool]:
-    """(class distance, word distance, diverges); a distance is None where the document is too short to judge."""
+def verdict(text: str, reference: Reference | None, rules: QualityRules = QualityRules()) -> tuple[float | None, float | None, bool]:
+    """(class distance, word distance, diverges); a distance is None where the document is too short to judge or its language has no reference."""
     far_c = far_w = None
+    if reference is None:
+        return None, None, False
     counts = class_counts(text)
     chars = int(counts.sum())
     bad = False
     if chars >= rules.min_chars and reference.classes.sum():
         far_c = js_distance(counts.astype(float), reference.classes)
-        bad |= far_c**2 > rules.class_distance**2 + rules.noise * (len(CLASSES) - 1) / (2 * chars * np.log(2))
+        bad |= far_c**2 > rules.class_distance**2 + rules.noise * (len(CLASSES) - 1) * (1 / chars + 1 / reference.classes.sum()) / (2 * np.log(2))
     words = _TOKEN.findall(text.lower())
     rest = len(reference.at)
     if len(words) >= rules.min_common_words and rest:
         ours = np.bincount([reference.at.get(w, rest) for w in words], minlength=rest + 1).astype(float)
         far_w = js_distance(ours, reference.words)
-        bad |= far_w**2 > rules.word_distance**2 + rules.noise * rest / (2 * len(words) * np.log(2))
+        bad |= far_w**2 > rules.word_distance**2 + rules.noise * rest * (1 / len(words) + 1 / reference.total) / (2 * np.log(2))
     return far_c, far_w, bool(bad)
 
 
@@ -240,9 +242,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``: the base counts, the two distances and ``kept``.
 
     A null text counts as empty: it has no words and fails the base rules. A null
-    language is a language of its own. Repeated rows each get their row. Documents of
-    a language with fewer than ``min_reference_words`` words are held against the
-    whole corpus. An empty table gives an empty result.
+    language is a language of its own. Repeated rows each get their row. Documents are held
+    against their own language, whatever its size. An empty table gives an empty result.
     """
     found = references(docs, text_col, lang_col, rules)
 
@@ -252,7 +253,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for key, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n, chars, symbols, dups, repeats = base_metrics(text)
                 own = found.get(lang)
-                far_c, far_w, bad = verdict(text, own if own and own.total >= rules.min_reference_words else found[None], rules)
+                far_c, far_w, bad = verdict(text, own, rules)
                 failed = base_failed(n, repeats, rules)
                 out.append((key, n, chars, symbols, dups, repeats, failed, far_c, far_w, not failed and not bad))
             kinds = (pa.int64(),) * 6 + (pa.bool_(), pa.float64(), pa.float64(), pa.bool_())
@@ -275,7 +276,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", r
                 ok = not base_failed(len(words), repeated_words(words), rules)
                 if ok:
                     own = found.get(lang)
-                    ok = not verdict(text, own if own and own.total >= rules.min_reference_words else found[None], rules)[2]
+                    ok = not verdict(text, own, rules)[2]
                 good.append(ok)
             rows = pa.RecordBatch.from_arrays(batch.columns[:n_columns], names=batch.schema.names[:n_columns])
             yield rows.filter(pa.array(good, pa.bool_()))
