@@ -118,7 +118,12 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From documents to (source1_entity_id, matched_entity_ids), a row for each record of A."""
+    """From documents to (source1_entity_id, matched_entity_ids), a row for each record of A.
+
+    A blocking-score run: half the cheap score stands in for the match probability and
+    the thresholds are fixed. No maps, features, models, calibration, stacking, tuning
+    or shift correction take part.
+    """
     a, b, _ = registers(spark, sf_dir)
     scored = candidates(spark, sf_dir).select("a", "b", F.least(F.col("cheap") / 2, F.lit(1.0)).alias("p"))
     chosen = decide.apply_thresholds(decide.one_to_one(scored), 0.3, 0.6, 0.4)
