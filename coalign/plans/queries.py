@@ -914,9 +914,13 @@ def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("R03_worst_pairs")
 def r03_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, b, truth = registers(spark, sf_dir)
+    a, b, truth = registers(spark, sf_dir)
     pairs = candidates(spark, sf_dir).select("a", "b", F.least(F.col("cheap") / 2, F.lit(1.0)).alias("p"))
-    return report.worst_pairs(pairs, pairs.groupBy("a").agg(F.max("p").alias("m")).orderBy("m", "a").limit(50), truth, b)
+    chosen = decide.apply_thresholds(decide.one_to_one(pairs), 0.3, 0.6, 0.4).join(truth.withColumn("y", F.lit(1)), ["a", "b"], "left").na.fill(0, ["y"])
+    all_a = a.select(F.col("id").alias("a")).join(truth.groupBy("a").agg(F.count(F.lit(1)).alias("ntrue")), "a", "left")
+    # records without a candidate have no pair to show
+    scores = decide.per_a_scores(chosen, all_a).join(pairs.select("a").distinct(), "a", "left_semi")
+    return report.worst_pairs(pairs, report.worst(scores), truth, b)
 
 
 _ERRORS = f"""WITH {SCORED}

@@ -1,0 +1,15 @@
+import os
+
+import pytest
+
+from coalign.plans import queries
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="the driver's tables are not here")
+def test_pairs_of_all_worst_records(spark):
+    """Fewer than 500 records have candidates here, so all of them are shown."""
+    wanted = {r.a for r in queries.QUERIES["L01_folds"](spark, SF_DIR).collect()}
+    assert 50 < len(wanted) <= 500
+    assert {r.a for r in queries.QUERIES["R03_worst_pairs"](spark, SF_DIR).collect()} == wanted
