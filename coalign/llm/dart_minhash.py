@@ -10,12 +10,15 @@ Jaccard similarity. Only ranks up to a limit are thrown, which shrinks with the
 of the document, so a signature costs about as many darts as it has coordinates times
 a small factor, whatever the length; if a coordinate stays empty, the limit is doubled.
 
-Signatures are joined by bands. Texts alike are one node from the start. A band key
-with many nodes is not turned into pairs: its nodes are compared with a leader. What
-that leaves open is narrowed down by the triangle inequality, weighted Jaccard distance
-being a metric, and by the rarest shingles, of which similar texts share one.
-Compared pairs get their exact similarity from the whole texts' shingles, and classes
-are the connected components of the links.
+Signatures are joined by bands. Texts alike are one node from the start. The nodes of a
+band key are not turned into pairs: they are compared with a leader, exactly, by the
+whole texts' shingles, and what is then connected is one class. Where a band key still
+has nodes of several classes, its nodes are dealt to blocks of a bounded size and
+pairs of blocks are searched in place: signatures name the pairs of different classes
+that can be similar, those are compared exactly, and what leaves a pair of blocks is
+at most one link for each node, as many as it takes to connect what is similar. So
+rows grow with the nodes and never with the pairs, and no link is lost. Classes are the
+connected components of the links.
 """
 
 from __future__ import annotations
@@ -26,8 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, doc_key, mix, word_bounds, word_hashes
@@ -42,11 +44,24 @@ class NearDuplicates:
     bands: int = 25
     rows: int = 5
     block_bytes: int = 2 << 20
+    #: Most documents that are signed at once, and about the most nodes and shingles in a block of a band key.
+    block_docs: int = 2_000
+    block_nodes: int = 384
+    block_cells: int = 1 << 19
 
     @property
     def coordinates(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def least_matches(self) -> float:
+        """Coordinates in common that a similar pair has but for five standard deviations."""
+        return self.coordinates * self.similarity - 5 * math.sqrt(self.coordinates * self.similarity * (1 - self.similarity))
+
+    def size(self, weight: Column) -> Column:
+        """The weight on a scale on which similar documents differ by one at most (a little wider, for rounding)."""
+        return F.floor(F.log(weight) / -math.log(self.similarity - 0.005)).cast("int")
+
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(element, weight, document) of the shingles of a block, and a hash of each document's words in order.
@@ -134,7 +149,7 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
-NODES = "key long, has_id boolean, text_key long, node long, weight long, bands array<long>"
+NODES = "key long, has_id boolean, text_key long, node long, weight long, bands array<long>, signature binary"
 HOT_ROWS, MOST_HOT = 1_000, 10_000
 
 
@@ -143,29 +158,31 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(doc_key(id_col).alias("key"), F.col(id_col).isNotNull().alias("has_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def _cut_batch(text: pa.Array, block: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Stretches of about ``block`` bytes of a column of texts."""
+def _cut_batch(text: pa.Array, p: NearDuplicates) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Stretches of about ``p.block_bytes`` bytes and ``p.block_docs`` texts at most of a column of texts."""
     text = text.cast(pa.large_binary())
     ends = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
     raw = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(text):
-        to = min(max(int(np.searchsorted(ends, ends[at] + block)), at + 1), len(text))
+        to = min(max(int(np.searchsorted(ends, ends[at] + p.block_bytes)), at + 1), at + p.block_docs, len(text))
         yield at, to, raw[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
         at = to
 
 
 def signed(docs: DataFrame, p: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
-    """By document: a hash of its words in order (its node; null without words), its weight and its band keys."""
+    """By document: a hash of its words in order (its node; null without words), its weight, its band keys and a byte of each coordinate."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, raw, offsets in _cut_batch(batch.column(3), p.block_bytes):
+            for at, to, raw, offsets in _cut_batch(batch.column(3), p):
                 element, weight, doc, same = shingles(raw, offsets, p.shingle)
                 total = np.bincount(doc, weight, to - at).astype(np.int64)
-                keys = band_keys(signatures(element, weight, doc, to - at, p.coordinates), p.bands, p.rows)
+                darts = signatures(element, weight, doc, to - at, p.coordinates)
+                keys, low = band_keys(darts, p.bands, p.rows), darts.astype(np.uint8).tobytes()
+                low = [low[i : i + p.coordinates] for i in range(0, len(low), p.coordinates)]
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), p.bands).cast(pa.list_(pa.int64()))
-                columns = [*(c.slice(at, to - at) for c in batch.columns[:3]), pa.array(same.view(np.int64), mask=total == 0), pa.array(total), bands]
+                columns = [*(c.slice(at, to - at) for c in batch.columns[:3]), pa.array(same.view(np.int64), mask=total == 0), pa.array(total), bands, pa.array(low, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in NODES.split(", ")])
 
     return _blocks(docs, id_col, text_col).mapInArrow(sign, NODES)
@@ -176,7 +193,7 @@ def cells(docs: DataFrame, p: NearDuplicates, id_col: str, text_col: str, wanted
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, raw, offsets in _cut_batch(batch.column(0), p.block_bytes):
+            for at, to, raw, offsets in _cut_batch(batch.column(0), p):
                 element, weight, doc, same = shingles(raw, offsets, p.shingle)
                 of = np.repeat(np.arange(len(element)), weight)
                 nth = np.arange(len(of)) - np.repeat(np.cumsum(weight) - weight, weight)
@@ -199,11 +216,7 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             out = np.empty(batch.num_rows)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                out[i] = 1 - shared / (len(both) - shared)
+                out[i] = _distance(*(np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "distance"])
 
     a, b = (sets.select(F.col("node").alias(n), F.col("cells").alias(f"cells_{n}")) for n in "ab")
@@ -236,70 +249,132 @@ def _ranked(buckets: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, buckets: DataFrame, texts: DataFrame, p: NearDuplicates, id_col: str, text_col: str) -> DataFrame:
-    """(a, b) such that all similar nodes that share a bucket are connected; ``buckets`` has (bucket, node), ``texts`` (node, key).
+    """(a, b) such that all similar nodes that share a bucket are connected.
 
-    The nodes of a bucket are compared with its leader; a node that is then connected
-    with it, here or by another bucket, is settled there. Of two similar nodes that
-    nothing has connected, either one is settled and their distances from the leader
-    differ by no more than the limit, or neither is; ``open_pairs`` finds them.
+    ``buckets`` has (bucket, band, size, node), ``texts`` (node, key, weight, signature).
+    The nodes of a bucket are compared with its leader. A bucket whose nodes are of one
+    class then, here or by other buckets, is done; ``search`` goes over the others.
     """
     limit = 1 - p.similarity + 1e-9
     wanted = texts.join(buckets.select("node").distinct(), "node", "left_semi")
     sets = cut(cells(docs, p, id_col, text_col, wanted.select("node", "key")))
     ranked = _ranked(buckets)
     chosen = ranked.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")).select("bucket", F.col("top.node").alias("leader"))
-    pairs = cut(ranked.join(chosen, "bucket").where("node <> leader").select("bucket", "node", "leader"))
-    ordered = {"a": F.least("leader", "node"), "b": F.greatest("leader", "node")}
-    seen = cut(distances(pairs.select(*(c.alias(n) for n, c in ordered.items())).distinct(), sets))
-    near = cut(seen.where(F.col("distance") <= limit).select("a", "b"))
-    met = _labelled(pairs.withColumns(ordered).join(seen, ["a", "b"]).select("bucket", "node", "leader", "distance"), components(near))
-    met = cut(met.select("bucket", "node", "distance", "class_node", (F.col("class_node") == F.col("class_leader")).alias("settled")))
-    inside = met.where("settled").select("bucket", F.col("node").alias("x"), F.col("distance").alias("dx"), F.col("class_node").alias("cx"))
-    others = met.select(F.col("bucket").alias("other"), F.col("node").alias("y"), F.col("distance").alias("dy"), F.col("class_node").alias("cy"))
-    close = (F.col("bucket") == F.col("other")) & (F.col("cx") != F.col("cy")) & (F.abs(F.col("dy") - F.col("dx")) <= limit)
-    # Which nodes may still be alike: the unsettled ones, and both sides of what the distances leave open. They are named, not paired.
-    rest = met.where("not settled").select("node").unionByName(inside.join(others, close, "left_semi").select(F.col("x").alias("node")))
-    rest = rest.unionByName(others.join(inside, close, "left_semi").select(F.col("y").alias("node"))).distinct()
-    named = met.select("node", F.col("class_node").alias("class")).distinct().join(rest, "node", "left_semi")
-    more = open_pairs(sets.join(named, "node"), p).join(seen, ["a", "b"], "left_anti")
-    return cut(near.unionByName(distances(more, sets).where(F.col("distance") <= limit).select("a", "b")))
-
-
-def open_pairs(sets: DataFrame, p: NearDuplicates) -> DataFrame:
-    """(a, b) of all nodes (node, cells, class) of different classes whose cells can be similar, by their rarest cells.
-
-    Two sets of a similarity of t at least share one of the n - ceil(t n) + 1 rarest
-    cells of each, n being its size. A passage that many documents have is not among
-    the rarest cells of any of them unless it is nearly all of it, so documents that
-    have only that in common don't meet.
-    """
+    pairs = ranked.join(chosen, "bucket").where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    near = cut(distances(pairs, sets).where(F.col("distance") <= limit).select("a", "b"))
+    named = cut(ranked.join(components(near), "node", "left").select("bucket", "band", "size", "node", F.coalesce("class", "node").alias("class")))
+    return cut(near.unionByName(search(named, texts, sets, p)))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def search(named: DataFrame, texts: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
+    """(a, b): links that connect all similar nodes of the buckets (bucket, band, size, node, class) that have several classes.
+
+    The largest class of a bucket is its core, whose nodes needn't meet each other.
+    Core and rest are dealt to blocks by hash, as many as it takes for about
+    ``p.block_nodes`` nodes and ``p.block_cells`` shingles in one; every pair of two
+    blocks of the rest, or of one of the rest and one of the core, is a row group of its
+    own. One straggler so costs a row for each node of the core and no more. A pair is
+    compared in the first band only that it shares, and for the size only that both have.
+    """
+    sized = named.join(texts.select("node", "weight"), "node").groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("nodes"), F.sum("weight").alias("total"))
+    total = sized.groupBy("bucket").agg(F.max(F.struct("nodes", "total", "class")).alias("core"), F.sum("nodes").alias("nodes"), F.sum("total").alias("total"))
+    blocks = lambda nodes, cells: F.ceil(F.greatest(nodes / p.block_nodes, cells / p.block_cells)).cast("int")
+    # of two nodes both have been compared
+    open_ = total.where("nodes > 2 and core.nodes < nodes").select(
+        "bucket", F.col("core.class").alias("core"), blocks(F.col("core.nodes"), F.col("core.total")).alias("inner"), blocks(F.expr("nodes - core.nodes"), F.expr("total - core.total")).alias("outer")
+    )
+    mine, other, place = F.col("mine"), F.col("other"), F.xxhash64("node", "bucket")
+    rows = named.join(open_, "bucket").withColumn("inside", F.col("class") == F.col("core"))
+    rows = rows.withColumn("mine", F.when(F.col("inside"), F.col("outer") + F.pmod(place, "inner")).otherwise(F.pmod(place, "outer")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1 + F.when(F.col("inside"), 0).otherwise(F.col("inner")))))
+    block = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in (F.col("bucket"), F.least(mine, other), F.greatest(mine, other)))))
+    rows = rows.join(texts.select("node", "weight", "signature"), "node").join(sets, "node")
+    rows = rows.select(block.alias("block"), (mine > other).cast("int").alias("side"), "node", "class", "weight", p.size(F.col("weight")).alias("own"), "band", "size", "signature", "cells")
+    return rows.repartition("block").sortWithinPartitions("block", "side", "node").mapInArrow(_searcher(p), "a long, b long").distinct()
+
+
+def _searcher(p: NearDuplicates):
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of one block key after the other; rows of a key follow each other, but may lie in several batches."""
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for node, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                cell = np.frombuffer(blob.as_buffer(), np.uint32).astype(np.int64)
-                # equal hashes of one document are cells of their own
-                nth = np.arange(len(cell)) - np.searchsorted(cell, cell)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), node)), pa.array(np.full(len(cell), len(cell))), pa.array(cell + (nth << 32))], names=["node", "n", "cell"])
-
-    rows = cut(sets.select("node", "cells").mapInArrow(spread, "node long, n long, cell long"))
-    frequency = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # a cell that one node only has comes first but joins nothing: it is counted, not ranked
-    lonely = rows.join(frequency, "cell", "left_anti").groupBy("node").agg(F.count(F.lit(1)).alias("lonely"))
-    rank = F.row_number().over(W.partitionBy("node").orderBy("df", "cell")) + F.coalesce("lonely", F.lit(0))
-    taken = F.col("n") - F.ceil(F.col("n") * p.similarity - 1e-9) + 1
-    prefix = rows.join(frequency, "cell").join(lonely, "node", "left").withColumn("rank", rank).where(F.col("rank") <= taken)
-    prefix = cut(prefix.join(sets.select("node", "class"), "node").select("cell", "node", "n", "class"))
-    left, right = (prefix.select(F.col("cell").alias(f"cell_{s}"), F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("class").alias(f"class_{s}")) for s in "ab")
-    alike = (F.col("cell_a") == F.col("cell_b")) & (F.col("a") < F.col("b")) & (F.col("class_a") != F.col("class_b")) & (F.col("n_a") >= p.similarity * F.col("n_b") - 1e-9) & (F.col("n_b") >= p.similarity * F.col("n_a") - 1e-9)
-    return left.join(right, alike).select("a", "b").distinct()
-
-
-def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """Adds class_node and class_leader to (node, leader)."""
-    for c in ("node", "leader"):
-        rows = rows.join(label.select(F.col("node").alias(c), F.col("class").alias(f"class_{c}")), c, "left").withColumn(f"class_{c}", F.coalesce(f"class_{c}", c))
-    return rows
+            code = batch.column(0).dictionary_encode().indices.to_numpy()
+            begin = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+            for at, to in zip(begin.tolist(), np.append(begin[1:], len(code)).tolist(), strict=True):
+                if held and held[0].column(0)[0] != batch.column(0)[at]:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held = []
+                held.append(batch.slice(at, to - at))
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for group in groups(batches):
+            found += _similar(group, p)
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found = []
+        yield _pairs(found)
+
+    return run
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def _distance(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted sets of cells."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return 1 - shared / (len(both) - shared)
+
+
+def _similar(group: pa.RecordBatch, p: NearDuplicates) -> list[tuple[int, int]]:
+    """Links between the two blocks of a group, or within its one block, that connect what is similar and not of one class."""
+    _, side, node, label, weight, own, band, size = (c.to_numpy() if pa.types.is_integer(c.type) else None for c in group.columns[:8])
+    signature = np.frombuffer(b"".join(group.column(8).to_pylist()), np.uint8).reshape(-1, p.coordinates)
+    lo, hi = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    left, right = (lo, hi) if len(hi) else (lo, lo)
+    x, y, matches = [], [], []
+    step = max(1, (1 << 23) // (p.coordinates * max(len(right), 1)))
+    for i in range(0, len(left), step):
+        at = left[i : i + step]
+        may = label[at][:, None] != label[right][None, :]
+        may &= np.maximum(own[at][:, None], own[right][None, :]) == size[0]
+        may &= (weight[at][:, None] >= p.similarity * weight[right][None, :] - 1e-9) & (weight[right][None, :] >= p.similarity * weight[at][:, None] - 1e-9)
+        if not len(hi):
+            may &= at[:, None] < right[None, :]
+        u, v = np.nonzero(may)
+        u, v = at[u], right[v]
+        for j in range(0, len(u), 1 << 16):
+            a, b = u[j : j + (1 << 16)], v[j : j + (1 << 16)]
+            same = signature[a] == signature[b]
+            hits = same.sum(axis=1)
+            first = same.reshape(len(a), p.bands, p.rows).all(axis=2).argmax(axis=1)
+            take = (hits >= p.least_matches) & (first == band[0])
+            x.append(a[take]), y.append(b[take]), matches.append(hits[take])
+    if not x:
+        return []
+    x, y, matches = (np.concatenate(v) for v in (x, y, matches))
+    order = np.argsort(-matches, kind="stable")
+    head: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := head.get(c, c)) != c:
+            head[c] = head.get(up, up)
+            c = up
+        return c
+
+    blobs, found = group.column(9), []
+    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        r, q = root(int(label[i])), root(int(label[j]))
+        if r != q and _distance(*(np.frombuffer(blobs[k].as_buffer(), np.uint32) for k in (i, j))) <= 1 - p.similarity + 1e-9:
+            head[max(r, q)] = min(r, q)
+            found.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -313,15 +388,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id of a class, each is marked as kept.
     """
     rows = cut(signed(docs, p, id_col, text_col))
-    texts = cut(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("weight").alias("weight")))
-    # Similar documents have similar weights: their sizes, on a scale of the limit (a little wider, for rounding), differ by one at most. So each takes
-    # part under its size and the next, and texts of other lengths that share a passage don't meet at all.
-    size = F.floor(F.log("weight") / -math.log(p.similarity - 0.005)).cast("int")
+    texts = cut(rows.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("weight").alias("weight"), F.first("signature").alias("signature")))
+    # The sizes of similar documents differ by one at most. So each takes part under its size and the next, and texts of
+    # other lengths that share a passage don't meet at all.
+    size = p.size(F.col("weight"))
     keyed = texts.select("node", F.explode(F.array(size, size + 1)).alias("size"), "bands").select("node", "size", F.posexplode("bands").alias("band", "value"))
-    keyed = keyed.select("node", F.xxhash64("band", "value", "size").alias("bucket"))
+    keyed = keyed.select("node", "band", "size", F.xxhash64("band", "value", "size").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("bucket")
-    buckets = cut(keyed.join(shared, "bucket").select("bucket", "node"))
-    label = components(links(docs, buckets, texts.select("node", "key"), p, id_col, text_col))
+    buckets = cut(keyed.join(shared, "bucket").select("bucket", "band", "size", "node"))
+    label = components(links(docs, buckets, texts.drop("bands"), p, id_col, text_col))
 
     member = rows.select("key", "has_id", "text_key", "node").join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
     member = cut(member.select("key", "has_id", "text_key", "class"))
