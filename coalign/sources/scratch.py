@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -13,13 +14,17 @@ _own: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``; a temporary one only where that is unset.
+    """A folder of this application below ``spark.checkpoint.dir``. It is removed when the driver ends.
 
-    It is removed when the driver ends.
+    Where that is unset, a local session uses a temporary folder; a cluster, whose
+    machines don't share one, gets an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _own:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="coalign-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = base or "file://" + tempfile.mkdtemp(prefix="coalign-")
         _own[app] = f"{base.rstrip('/')}/coalign-{app}"
         atexit.register(_remove, spark, _own[app])
     return _own[app]
@@ -27,13 +32,16 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
     except Exception:  # the session has ended already
         pass
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """The same rows, read back from a table in the shared scratch folder.
 
@@ -45,7 +53,31 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     path, schema = f"{scratch_dir(spark)}/{uuid.uuid4().hex}", df.schema
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    back._scratch = path
+    return back
+
+
+def cut_buckets(df: DataFrame, key: str) -> DataFrame:
+    """Like ``cut``, with the rows in as many buckets by ``key`` as there are shuffle partitions.
+
+    What groups or joins by the key later reads the rows in place and shuffles the
+    other side only.
+    """
+    spark = df.sparkSession
+    free_shuffles(spark)
+    name = f"coalign_{uuid.uuid4().hex}"
+    path, buckets = f"{scratch_dir(spark)}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    back = spark.table(name)
+    back._scratch = path
+    return back
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stage tables that nothing will read any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._scratch)
 
 
 def free_shuffles(spark: SparkSession) -> None:
