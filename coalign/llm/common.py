@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coalign.sources.scratch import cut, free_shuffles
+from coalign.sources.scratch import cut, cut_buckets, drop, free_shuffles
 
-__all__ = ["cut", "free_shuffles"]
+__all__ = ["cut", "cut_buckets", "drop", "free_shuffles"]
 
 #: White space of every operator here: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -59,7 +59,8 @@ def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
     """Documents as a table of chunks of about ``chunk_bytes`` of text each (a longer document is a chunk of its own).
 
-    A null text counts as empty. Not cut yet: callers ``cut`` it before they use it twice.
+    A null text counts as empty. Not cut yet: callers ``cut_buckets`` it by chunk before they use it twice,
+    so that what comes back to the chunks is brought to where they lie.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchored import BLOB, _blobs, _distinct, _short, _slices, _unzip, _zip
-from .common import _UNBASE, chunked, cut, free_shuffles, mix, powers, unpack, word_bounds, word_hashes
+from .anchored import BLOB, _blobs, _short, _slices, _unzip, _zip
+from .common import _UNBASE, chunked, cut, cut_buckets, free_shuffles, mix, powers, unpack, word_bounds, word_hashes
 
 RESULT = "doc_id long, n_lines long, n_removed long, kept string"
 
@@ -96,6 +96,24 @@ def _long(x: Lines, rules: LineRules) -> np.ndarray:
     return np.flatnonzero((x.end - x.begin)[x.first] >= rules.near_words)
 
 
+def _sorted_with(value: np.ndarray, bits: int, number: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``value`` (of so many bits) in order, and the ``number`` (below ``most``) beside each; equal values by number."""
+    low = max(int(most - 1).bit_length(), 1)
+    if bits + low > 64:
+        order = np.lexsort((number, value))
+        return value[order], number[order]
+    both = np.sort((value.astype(np.uint64) << np.uint64(low)) | number.astype(np.uint64))
+    return both >> np.uint64(low), (both & np.uint64((1 << low) - 1)).astype(np.int64)
+
+
+def _distinct_variants(short: np.ndarray, parts: int, of: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct short hashes in order, whether two lines have it)."""
+    s, line = _sorted_with(short, 32 + parts.bit_length(), of, lines)
+    begin = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
+    last = np.append(begin[1:], len(s)) - 1 if len(s) else begin
+    return s[begin], line[begin] != line[last]
+
+
 def _by_part(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order by part and hash, and the stretch of each part."""
     part = (hashes >> np.uint64(32)) % np.uint64(parts)
@@ -115,7 +133,7 @@ def offers(chunks: DataFrame, rules: LineRules, parts: int) -> DataFrame:
                 h, key, number = x.hash[order], keys[x.doc[x.first[order]]], x.number[x.first[order]]
                 rows = [(p, chunk, 0, _zip(h[s:e], key[s:e], number[s:e])) for p, s, e in stretches]
                 v, _, of = variants(x, _long(x, rules))
-                short, twice = _distinct(_short(v, parts), of)
+                short, twice = _distinct_variants(_short(v, parts), parts, of, len(x.hash))
                 rows += [(p, chunk, 1, _zip((short[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.packbits(twice[s:e]))) for p, s, e in _slices(short)]
                 yield _blobs(rows)
 
@@ -133,13 +151,10 @@ def offers(chunks: DataFrame, rules: LineRules, parts: int) -> DataFrame:
             flag[order] = at[head][np.cumsum(head) - 1] < at
         else:
             flag = np.concatenate([np.unpackbits(g[1], count=n) for g, n in zip(got, sizes, strict=True)]).astype(bool)
-            order = np.argsort(value, kind="stable")
-            v = value[order]
+            v, order = _sorted_with(value, 32, np.arange(len(value)), len(value))
             same = np.zeros(len(v) + 1, bool)
             same[1:-1] = v[1:] == v[:-1]
-            many = np.empty(len(v), bool)
-            many[order] = same[1:] | same[:-1]
-            flag |= many
+            flag[order[same[1:] | same[:-1]]] = True
         return _answers(table, flag, sizes, kind)
 
     return chunks.mapInArrow(send, BLOB).groupBy("kind", "part").applyInArrow(compare, BLOB)
@@ -168,32 +183,33 @@ def _bits(order: np.ndarray, stretches: list[tuple[int, int, int]], back: dict[i
     return flag
 
 
-def _survivors(x: Lines, rules: LineRules, parts: int, back: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which distinct lines are repeats; and of the other long ones the variants (hash, place, distinct line) that two lines have."""
+def _survivors(x: Lines, rules: LineRules, parts: int, back: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The variants (hash, place, distinct line) that two lines have, of long distinct lines that aren't repeats."""
     late = _bits(*_by_part(x.hash, parts), back[0])
     long = _long(x, rules)
     v, place, of = variants(x, long)
-    short = _short(v, parts)
-    distinct, _ = _distinct(short, of)
-    flag = np.zeros(len(distinct), bool)
-    for p, s, e in _slices(distinct):
-        flag[s:e] = np.unpackbits(np.frombuffer(back[1][p], np.uint8), count=e - s).astype(bool)
-    keep = flag[np.searchsorted(distinct, short)] & ~late[long[of]] if len(v) else np.zeros(0, bool)
-    return late, v[keep], place[keep], long[of[keep]]
+    s, at = _sorted_with(_short(v, parts), 32 + parts.bit_length(), np.arange(len(v)), max(len(v), 1))
+    new = np.append(True, s[1:] != s[:-1])[: len(s)]
+    flag = np.zeros(int(new.sum()), bool)
+    for p, b, e in _slices(s[new]):
+        flag[b:e] = np.unpackbits(np.frombuffer(back[1][p], np.uint8), count=e - b).astype(bool)
+    keep = np.sort(at[flag[np.cumsum(new) - 1]]) if len(s) else at
+    keep = keep[~late[long[of[keep]]]]
+    return v[keep], place[keep], long[of[keep]]
 
 
 def joined(chunks: DataFrame, answers: DataFrame, rules: LineRules, parts: int) -> DataFrame:
-    """Kind 2: a bit for each variant sent in full, set if it shows an earlier line that is near."""
+    """Kind 2: the numbers of a chunk's distinct lines of which a variant shows an earlier line that is near."""
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk, body, back = _returned(left, right)
         keys, raw, offsets, _, _ = unpack(body)
         x = lines_of(raw, offsets, keys, rules)
-        _, v, place, line = _survivors(x, rules, parts, back)
+        v, place, line = _survivors(x, rules, parts, back)
         order, stretches = _by_part(v, parts)
-        v, place, at = v[order], place[order], x.first[line[order]]
-        key, number = keys[x.doc[at]], x.number[at]
-        return pa.Table.from_batches([_blobs([(p, chunk, 2, _zip(v[s:e], place[s:e], key[s:e], number[s:e])) for p, s, e in stretches])])
+        v, place, line = v[order], place[order], line[order]
+        key, number = keys[x.doc[x.first[line]]], x.number[x.first[line]]
+        return pa.Table.from_batches([_blobs([(p, chunk, 2, _zip(v[s:e], place[s:e], key[s:e], number[s:e], line[s:e])) for p, s, e in stretches])])
 
     def decide(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         got = [_unzip(b) for b in table["body"].to_pylist()]
@@ -210,7 +226,9 @@ def joined(chunks: DataFrame, answers: DataFrame, rules: LineRules, parts: int)
         alike = sr[fine][np.cumsum(fine) - 1]
         flag = np.empty(len(sv), bool)
         flag[order] = np.where(sp == 0, less, np.minimum(itself, alike)) < sr
-        return _answers(table, flag, [len(g[0]) for g in got], 2)
+        bounds = np.cumsum([0, *(len(g[0]) for g in got)]).tolist()
+        rows = zip(table["part"].to_pylist(), table["chunk"].to_pylist(), (g[4] for g in got), bounds, bounds[1:], strict=False)
+        return pa.Table.from_batches([_blobs([(p, c, 2, _zip(np.unique(line[flag[s:e]]))) for p, c, line, s, e in rows])])
 
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send, BLOB).groupBy("part").applyInArrow(decide, BLOB)
 
@@ -231,20 +249,19 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one; a missing id comes last; rows with one id don't remove each other's line of
     the same number. An empty table gives an empty result.
     """
-    chunks = cut(chunked(docs, id_col, text_col, rules.chunk_bytes))
+    chunks = cut_buckets(chunked(docs, id_col, text_col, rules.chunk_bytes), "chunk")
     size = chunks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     parts = max(1, -(-size // rules.part_bytes))
     first = cut(offers(chunks, rules, parts))
-    back = first.unionByName(cut(joined(chunks, first, rules, parts)))
+    back = first.where("kind = 0").unionByName(cut(joined(chunks, first, rules, parts)))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         _, body, back = _returned(left, right)
         keys, raw, offsets, has_id, _ = unpack(body)
         x = lines_of(raw, offsets, keys, rules)
-        late, v, _, line = _survivors(x, rules, parts, back)
-        order, stretches = _by_part(v, parts)
-        gone = late.copy()
-        gone[line[_bits(order, stretches, back[2])]] = True
+        gone = _bits(*_by_part(x.hash, parts), back[0])
+        for near in back[2].values():
+            gone[_unzip(near)[0]] = True
         # of equal lines of a chunk those after the first one
         key, at = keys[x.doc], x.first[x.which]
         later = (key > key[at]) | ((key == key[at]) & (x.number > x.number[at]))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchored import BLOB, _blobs, _unzip, _zip
-from .common import chunked, cut, free_shuffles, mix, unpack, word_bounds, word_hashes
+from .common import chunked, cut, cut_buckets, free_shuffles, mix, unpack, word_bounds, word_hashes
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 START, END = np.uint64(0x5EED00000000005A), np.uint64(0x5EED0000000000E5)
@@ -362,5 +362,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is one token, the end. Repeated rows are counted and scored each. Without a
     document to learn from every word is unknown. An empty table gives an empty result.
     """
-    chunks = cut(chunked(docs, id_col, text_col, rules.chunk_bytes))
+    chunks = cut_buckets(chunked(docs, id_col, text_col, rules.chunk_bytes), "chunk")
     return score(chunks, train(chunks, rules), rules)
