@@ -306,7 +306,7 @@ def look_up(chunks: DataFrame, model: Model, rules: LmRules) -> DataFrame:
                 at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
                 hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
                 found = [np.where(hit, v[at], 0).astype(np.uint64) if len(keys) else np.zeros(len(wanted), np.uint64) for v in values]
-                out.append((part, chunk, kind, _zip(found[0].astype(np.uint32), found[1].astype(np.uint32), found[2]) if kind == 0 else _zip(found[0].astype(np.uint32))))
+                out.append((part, chunk, kind, _zip(planes(found[0]), planes(found[1]), *found[2:]) if kind == 0 else _zip(planes(found[0]))))
             del keys, values
         return pa.Table.from_batches([_blobs(out)])
 
@@ -326,13 +326,13 @@ def score(chunks: DataFrame, model: Model, rules: LmRules = LmRules()) -> DataFr
         count, ends, backoff = np.zeros(len(words)), np.zeros(len(words)), np.ones(len(words))
         for p, s, e in stretches:
             a, b, c = _unzip(back[0, p])
-            rows = order[s:e]
+            a, b, rows = from_planes(a), from_planes(b), order[s:e]
             count[rows], ends[rows] = a, b
             backoff[rows] = np.where(a > 0, c.view(np.float64), 1.0)
         value, which = np.unique(_bigrams(token, before, parts), return_inverse=True)
         times = np.zeros(len(value))
         for p, s, e in _stretches((value >> np.uint64(40)).astype(np.int64)):
-            times[s:e] = _unzip(back[1, p])[0]
+            times[s:e] = from_planes(_unzip(back[1, p])[0])
         w, v, times = np.searchsorted(words, token), np.searchsorted(words, before), times[which]
         total = np.maximum(count, 1)
         p = np.where(times > 0, np.minimum(1.0, np.maximum(times - totals.bigram(times), 0) / total[v]), 0.0) + backoff[v] * totals.unigram_p(ends)[w]
