@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
-from .names import among, latin_fold, literal_map, map_tokens, words
+from .fold import fold
+from .names import among, literal_map, map_tokens, own_map, words
 
 
 def clean_address(c: Column) -> Column:
     """Folded, lower case, without null markers, number ranges apart."""
-    c = F.regexp_replace(F.lower(latin_fold(c)), V.NULL_ADDRESS, " ")
+    c = F.regexp_replace(F.lower(fold(c)), V.NULL_ADDRESS, " ")
     return F.regexp_replace(c, r"(\d)\s*-\s*(\d)", "$1 $2")
 
 
@@ -32,18 +33,22 @@ def numbers(c: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda n: n != ""))
 
 
-def normalize_addresses(df: DataFrame, address: str = "business_address", aliases: DataFrame | None = None) -> DataFrame:
+def normalize_addresses(df: DataFrame, address: str = "business_address", aliases: DataFrame | None = None, key: str = "id") -> DataFrame:
     """Adds the address columns. A null address counts as empty.
 
-    ``aliases`` has (country, component, canonical); it is grouped by country and
-    joined on it, so a country without aliases keeps its components (A09, A14).
+    ``aliases`` has (country, component, canonical), a canonical one for each component
+    of a country once; it is joined to the components by record, whose ``key`` must be
+    its own, so no record carries more of it than it needs (A09, A14).
     """
     df = df.withColumn("_clean", clean_address(F.coalesce(F.col(address), F.lit(""))))
     df = df.withColumn("addr_comp", components(F.col("_clean")))
     if aliases is not None:
-        by_country = aliases.groupBy("country").agg(F.map_from_entries(F.collect_list(F.struct("component", "canonical"))).alias("_aliases"))
-        df = df.join(by_country, "country", "left")
-        df = df.withColumn("addr_comp", F.when(F.col("_aliases").isNull(), F.col("addr_comp")).otherwise(map_tokens(F.col("addr_comp"), F.col("_aliases")))).drop("_aliases")
+        token = lambda country, c: F.concat_ws("\u0001", country, c)
+        by_country = aliases.select(token(F.coalesce("country", F.lit("")), F.col("component")).alias("token"), F.col("canonical").alias("target"))
+        asked = F.transform("addr_comp", lambda c: token(F.coalesce("country", F.lit("")), c))
+        df = df.join(own_map(df, key, asked, by_country), key, "left")
+        mapped = F.transform("addr_comp", lambda c: F.coalesce(F.element_at("_map", token(F.coalesce("country", F.lit("")), c)), c))
+        df = df.withColumn("addr_comp", F.when(F.col("_map").isNull(), F.col("addr_comp")).otherwise(mapped)).drop("_map")
     df = df.withColumn("addr_comp", F.array_distinct("addr_comp"))
     df = df.withColumns(
         {

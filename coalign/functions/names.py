@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
+from .fold import fold
 
 
 def literal_map(words: dict[str, str]) -> Column:
@@ -20,13 +21,6 @@ def among(c: Column, words: list[str]) -> Column:
     return F.array_contains(F.array(*map(F.lit, words)), c)
 
 
-def latin_fold(c: Column) -> Column:
-    """Latin letters without their marks; other scripts stay."""
-    for two, letters in V.LATIN_TWO.items():
-        c = F.replace(c, F.lit(two), F.lit(letters))
-    return F.translate(c, V.LATIN_FROM, V.LATIN_TO)
-
-
 def is_native(c: Column) -> Column:
     """Has a letter of an Indic script."""
     return c.rlike(V.NATIVE_SCRIPT)
@@ -63,9 +57,14 @@ def unconfuse(token: Column) -> Column:
     return F.when(mixed, F.translate(token, *V.DIGIT_LOOKS)).otherwise(token)
 
 
+def raw_words(c: Column) -> Column:
+    """The tokens of a cleaned name before anything is mapped."""
+    return words(F.regexp_replace(c, r"'s\b", "s"))
+
+
 def name_tokens(c: Column, native: Column, transliterated: Column | None = None) -> Column:
     """Tokens of a cleaned name, mapped, split again and distinct in order."""
-    tokens = words(F.regexp_replace(c, r"'s\b", "s"))
+    tokens = raw_words(c)
     if transliterated is not None:
         tokens = F.when(native, map_tokens(tokens, transliterated)).otherwise(tokens)
     tokens = map_tokens(F.transform(tokens, unconfuse), V.LEGAL_FORMS)
@@ -82,13 +81,26 @@ def drop_title(core: Column) -> Column:
     return F.when(titled, F.slice(core, 2, F.greatest(F.size(core), F.lit(1)))).otherwise(core)
 
 
-def normalize_names(df: DataFrame, name: str = "business_name", transliterated: Column | None = None) -> DataFrame:
-    """Adds the name columns. A null name counts as empty and has no tokens."""
+def own_map(df: DataFrame, key: str, tokens: Column, table: DataFrame) -> DataFrame:
+    """(key, _map): of each record the entries of ``table`` (token, target) that its tokens have; records without any aren't there."""
+    asked = df.select(F.col(key), F.explode(F.array_distinct(tokens)).alias("token"))
+    return asked.join(table.select("token", "target"), "token").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("token", "target"))).alias("_map"))
+
+
+def normalize_names(df: DataFrame, name: str = "business_name", transliterated: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Adds the name columns. A null name counts as empty and has no tokens.
+
+    ``transliterated`` has (token, target), a target for each token once; it is joined
+    to the tokens of native names by record, whose ``key`` must be its own (N13).
+    """
     raw = F.coalesce(F.col(name), F.lit(""))
-    df = df.withColumn("native", is_native(raw)).withColumn("_clean", clean_name(latin_fold(raw)))
+    df = df.withColumn("native", is_native(raw)).withColumn("_clean", clean_name(fold(raw)))
     main, other = split_other_name(F.col("_clean"))
-    df = df.withColumns({"_main": main, "_other": other})
-    df = df.withColumns({"name_tok": name_tokens(F.col("_main"), F.col("native"), transliterated), "_alt": name_tokens(F.col("_other"), F.col("native"), transliterated)})
+    df, mapping = df.withColumns({"_main": main, "_other": other}), None
+    if transliterated is not None:
+        found = own_map(df.where("native"), key, F.concat(raw_words(F.col("_main")), raw_words(F.col("_other"))), transliterated)
+        df, mapping = df.join(found, key, "left"), F.coalesce("_map", F.create_map().cast("map<string,string>"))
+    df = df.withColumns({"name_tok": name_tokens(F.col("_main"), F.col("native"), mapping), "_alt": name_tokens(F.col("_other"), F.col("native"), mapping)})
     dropped = [*V.LEGAL_TOKENS, *(w for w in V.NAME_STOP_WORDS if w not in V.LEGAL_TOKENS)]
     legal = F.filter(F.concat("name_tok", "_alt"), lambda t: among(t, V.LEGAL_TOKENS))
     df = df.withColumns(
@@ -99,7 +111,7 @@ def normalize_names(df: DataFrame, name: str = "business_name", transliterated:
         }
     )
     df = df.withColumns({"name_norm": F.array_join("name_tok", " "), "core": F.array_join("core_tok", " "), "compact": F.array_join("core_tok", "")})
-    return df.drop("_clean", "_main", "_other", "_alt")
+    return df.drop("_clean", "_main", "_other", "_alt", "_map")
 
 
 def skeleton(c: Column) -> Column:

@@ -109,7 +109,8 @@ def rank_and_prune(pairs: DataFrame, keep_a: int = KEEP_A, keep_b: int = KEEP_B,
 def context(pairs: DataFrame) -> DataFrame:
     """how many candidates each side has, and how far a pair is from the best; all windows of a side share an exchange."""
     of_a, of_b = W.partitionBy("a"), W.partitionBy("b")
-    second = F.coalesce(F.get(F.sort_array(F.collect_list("cheap").over(of_a), asc=False), F.lit(1)), F.lit(0.0))
+    whole = of_a.orderBy(F.desc("cheap")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    second = F.coalesce(F.nth_value("cheap", 2).over(whole), F.lit(0.0))
     left = pairs.withColumns({"ncand_a": F.count(F.lit(1)).over(of_a), "gap_a": F.max("cheap").over(of_a) - F.col("cheap"), "cheap2_a": second})
     return left.withColumns({"ncand_b": F.count(F.lit(1)).over(of_b), "gap_b": F.max("cheap").over(of_b) - F.col("cheap")})
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# The grids of the tuning and the least p that expected F0.5 looks at.
 COARSE = ((0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5), (0.0, 0.3, 0.5, 0.6, 0.7, 0.8), (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9))
 EXPECTED = ((0.0, 0.02, 0.05), (0.0, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8))
 LEAST_P = 0.02
@@ -24,13 +25,15 @@ def apply_thresholds(pairs: DataFrame, t_abs: float, share: float, t_empty: floa
     return best.where((F.col("p") >= t_abs) & (F.col("p") >= share * F.col("_best")) & (F.col("_best") >= t_empty)).drop("_best")
 
 
-def expected_f05(pairs: DataFrame, miss: float = 0.0, t_empty: float = 0.0) -> DataFrame:
+def expected_f05(pairs: DataFrame, miss: float = 0.0, t_empty: float = 0.0, shown: bool = False) -> DataFrame:
     """The prefix of each a by p with the best expected F0.5, if it is better than nothing at all.
 
     The value of nothing is the product of 1 - p; a p of 1 makes it 0. Of equally
-    good prefixes the shortest is taken.
+    good prefixes the shortest is taken. ``shown`` adds what the choice went by: k, the
+    place in the prefix, and f, the expected F0.5 up to there.
     """
-    return _prefixes(pairs, ["a"], F.lit(miss)).where(F.col("_top") >= t_empty).select(*pairs.columns)
+    chosen = _prefixes(pairs, ["a"], F.lit(miss)).where(F.col("_top") >= t_empty)
+    return chosen.select(*pairs.columns, *([F.col("_k").alias("k"), F.col("_f").alias("f")] if shown else []))
 
 
 def _prefixes(pairs: DataFrame, group: list[str], miss: Column) -> DataFrame:
@@ -62,24 +65,24 @@ def macro_f05(pred: DataFrame, all_a: DataFrame) -> DataFrame:
 def grid_search(pairs: DataFrame, all_a: DataFrame, grid=COARSE) -> DataFrame:
     """(t_abs, share, t_empty, macro_f05, nth) of all rules of a grid in one job, the best first; of equal ones the first of the grid.
 
-    Each a's rows are read once: whether a pair is kept under a rule depends on p and
-    its a's best only, so rules are spread over the rows of an a and counted there.
-    An a without a kept pair scores only if it has no truth, which is a count of its own.
+    Whether a pair is kept under a rule depends on p and its a's best only, so the rules
+    are applied to the few pairs that an a has left and added up before the shuffle. Records of A without a pair score only if they have no truth.
     """
     rules = [(i, float(x), float(y), float(z)) for i, (x, y, z) in enumerate(r for r in product(*grid) if r[2] >= r[0])]
     table = F.array(*(F.struct(F.lit(i).alias("nth"), F.lit(x).alias("t_abs"), F.lit(y).alias("share"), F.lit(z).alias("t_empty")) for i, x, y, z in rules))
-    least = min(r[1] for r in rules)
-    base = one_to_one(pairs).where(F.col("p") >= least).withColumn("best", F.max("p").over(W.partitionBy("a")))
-    spread = base.select("a", "y", "p", "best", F.explode(table).alias("rule"))
-    kept = spread.where((F.col("p") >= F.col("rule.t_abs")) & (F.col("p") >= F.col("rule.share") * F.col("best")) & (F.col("best") >= F.col("rule.t_empty")))
-    counts = kept.groupBy("rule", "a").agg(F.count(F.lit(1)).alias("npred"), F.sum("y").alias("tp"))
-    # only records with predictions have a row; the others score 1 without truth and 0 with
-    gain = counts.join(all_a.select("a", "ntrue"), "a").groupBy("rule").agg(F.sum(f05(F.col("ntrue"), F.col("npred"), F.col("tp"))).alias("sum"), F.count_if(F.col("ntrue") == 0).alias("lost"))
+    base = one_to_one(pairs).where(F.col("p") >= min(r[1] for r in rules))
+    # an a has few pairs after one-to-one; they are gathered once, and no row is made for a rule
+    of_a = base.groupBy("a").agg(F.collect_list(F.struct("p", "y")).alias("rows"), F.max("p").alias("best")).join(all_a.select("a", "ntrue"), "a")
+
+    rule = F.col("rule")
+    of_rule = of_a.withColumn("rule", F.explode(table)).withColumn("kept", F.filter("rows", lambda r: (F.col("best") >= rule["t_empty"]) & (r["p"] >= rule["t_abs"]) & (r["p"] >= rule["share"] * F.col("best"))))
+    # the rows of a rule are added up where they are made; what is shuffled is a row for each rule and task
+    gain = f05(F.col("ntrue"), F.size("kept"), F.aggregate("kept", F.lit(0.0), lambda s, r: s + r["y"]))
+    sums = of_rule.groupBy(rule["nth"].alias("nth")).agg(F.sum(gain).alias("sum"), F.count_if(F.col("ntrue") == 0).alias("met"))
     totals = all_a.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ntrue") == 0).alias("single"))
-    rule_rows = totals.select("n", "single", F.explode(table).alias("rule"))
-    scored = rule_rows.join(gain, "rule", "left").na.fill(0, ["sum", "lost"])
-    score = F.round((F.col("sum") + F.col("single") - F.col("lost")) / F.col("n"), 9)
-    return scored.select("rule.*", score.alias("macro_f05")).orderBy(F.desc("macro_f05"), "nth").select("t_abs", "share", "t_empty", "macro_f05", "nth")
+    rows = totals.select("n", "single", F.explode(table).alias("rule")).withColumn("nth", rule["nth"]).join(sums, "nth", "left").na.fill(0, ["sum", "met"])
+    score = F.round((F.col("sum") + F.col("single") - F.col("met")) / F.col("n"), 9)
+    return rows.select("rule.*", score.alias("macro_f05")).orderBy(F.desc("macro_f05"), "nth").select("t_abs", "share", "t_empty", "macro_f05", "nth")
 
 
 def expected_grid(pairs: DataFrame, all_a: DataFrame, grid=EXPECTED) -> DataFrame:

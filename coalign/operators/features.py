@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from coalign.functions import fuzzy
 from coalign.functions.names import skeleton_text
 
-from .blocking import inverse_frequency, ratio_or_zero, shared_weight, total_weight, weighted_bags
+from .blocking import inverse_frequency, ratio_or_zero, shared_weight, total_weight
 
 WIDTHS = {"nt": 8, "at": 16, "ac": 8}
 BAG = "array<struct<pos:int,t:string,df:bigint,idf:double,gen:double>>"
@@ -20,17 +20,22 @@ def name_tokens(_=None) -> Column:
     return F.array_distinct(F.concat("core_tok", "alt_tok"))
 
 
-def token_statistics(a: DataFrame, b: DataFrame, generic: DataFrame | None = None) -> dict[str, DataFrame]:
-    """by group of tokens (t, df, idf, gen); ``generic`` has (t, rate) of name tokens, 0 for others."""
-    out = {}
-    for name, bag in (("nt", name_tokens), ("at", lambda _: F.col("addr_tok")), ("ac", lambda _: F.col("addr_comp"))):
-        stats = inverse_frequency(a, b, bag)
-        if name == "nt" and generic is not None:
-            stats = stats.join(generic.select("t", F.col("rate").alias("gen")), "t", "left").na.fill(0.0, ["gen"])
-        else:
-            stats = stats.withColumn("gen", F.lit(0.0))
-        out[name] = stats
-    return out
+def token_statistics(a: DataFrame, b: DataFrame) -> dict[str, DataFrame]:
+    """by group of tokens (t, df, idf)."""
+    return {name: inverse_frequency(a, b, bag) for name, bag in (("nt", name_tokens), ("at", lambda _: F.col("addr_tok")), ("ac", lambda _: F.col("addr_comp")))}
+
+
+def token_bags(df: DataFrame, bag: Column, stats: DataFrame, width: int, name: str, generic: DataFrame | None = None) -> DataFrame:
+    """(id, name): the first ``width`` tokens with their figures and how generic they are, as structs in order.
+
+    ``generic`` has (country, t, rate) once each; tokens it hasn't are not generic.
+    """
+    tokens = df.select("id", "country", F.posexplode(F.slice(bag, 1, width)).alias("pos", "t")).join(stats, "t")
+    if generic is None:
+        tokens = tokens.withColumn("gen", F.lit(0.0))
+    else:
+        tokens = tokens.join(generic.select("country", "t", F.col("rate").cast("double").alias("gen")), ["country", "t"], "left").na.fill(0.0, ["gen"])
+    return tokens.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "t", "df", "idf", "gen"))).alias(name))
 
 
 def core_frequency(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -38,12 +43,12 @@ def core_frequency(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("core").unionAll(b.select("core")).groupBy("core").agg(F.count(F.lit(1)).alias("corefreq"))
 
 
-def side_table(df: DataFrame, stats: dict[str, DataFrame], cores: DataFrame, prefix: str) -> DataFrame:
+def side_table(df: DataFrame, stats: dict[str, DataFrame], cores: DataFrame, prefix: str, generic: DataFrame | None = None) -> DataFrame:
     """all that a pair needs of one record; columns prefixed with the side."""
     bags = {"nt": name_tokens(), "at": F.col("addr_tok"), "ac": F.col("addr_comp")}
     rows = df.join(cores, "core", "left")
     for name, bag in bags.items():
-        rows = rows.join(weighted_bags(df, bag, stats[name], WIDTHS[name], name), "id", "left").withColumn(name, F.coalesce(name, F.from_json(F.lit("[]"), BAG)))
+        rows = rows.join(token_bags(df, bag, stats[name], WIDTHS[name], name, generic if name == "nt" else None), "id", "left").withColumn(name, F.coalesce(name, F.from_json(F.lit("[]"), BAG)))
     short = F.filter("addr_num", lambda n: F.length(n) <= 9)
     rows = rows.withColumns(
         {
@@ -198,8 +203,8 @@ def string_features() -> Column:
 
 
 def joined(pairs: DataFrame, a: DataFrame, b: DataFrame, generic: DataFrame | None = None) -> DataFrame:
-    stats, cores = token_statistics(a, b, generic), core_frequency(a, b)
-    return pairs.join(side_table(a, stats, cores, "a"), "a").join(side_table(b, stats, cores, "b"), "b")
+    stats, cores = token_statistics(a, b), core_frequency(a, b)
+    return pairs.join(side_table(a, stats, cores, "a", generic), "a").join(side_table(b, stats, cores, "b", generic), "b")
 
 
 def pair_features(pairs: DataFrame, a: DataFrame, b: DataFrame, generic: DataFrame | None = None, strings: bool = True) -> DataFrame:

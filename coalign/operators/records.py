@@ -9,7 +9,7 @@ from coalign.functions.addresses import normalize_addresses
 from coalign.functions.names import normalize_names
 
 
-def normalize(df: DataFrame, transliterated=None, aliases: DataFrame | None = None) -> DataFrame:
+def normalize(df: DataFrame, transliterated: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
     """Name and address columns of raw records (entity_id, business_name, business_address, country)."""
     return normalize_addresses(normalize_names(df, transliterated=transliterated), aliases=aliases)
 

@@ -1,76 +1,49 @@
-"""The linkage run over the driver's tables, and the registers it starts from.
-
-Documents stand in for business records: the language is the country, the first line
-of the text the name, the rest (its first 200 characters, lines as commas) the
-address. Sources 0 to 9 are the reference register, in which records alike in
-country and the first 60 characters of the text count once; 10 to 14 and 15 to 19
-are the two noisy registers. Records of the registers that agree in those are the
-truth.
-
-That is what SQL checks. Within ``on_whole_texts`` the address is the whole rest,
-records are alike if their whole texts are, and no row is left out: a null text has
-an empty name and address and is like no other, null languages are a country of
-their own, and a null source is of the reference register.
-"""
+"""The linkage run over the driver's tables, and the registers it starts from (``fixture``)."""
 
 from __future__ import annotations
 
-import functools
-from contextvars import ContextVar
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coalign.operators import blocking, decide, keys, records
 from coalign.functions.vocabulary import KEY_TYPES
+from coalign.operators import blocking, decide, features, keys, mine, model, records, shift, stack
 from coalign.sources.scratch import cut
 
+from . import fixture
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_whole: ContextVar[bool] = ContextVar("whole", default=False)
-
-
-def on_whole_texts(query):
-    """The query over registers of all rows and their whole texts."""
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, country, business_name, business_address, src, same, entity_id): ``same`` is what the truth goes by."""
+    rows = reduce(DataFrame.unionByName, (table(spark, sf_dir, r["table"]).selectExpr(*fixture.expressions(r)) for r in fixture.RECORDS))
+    return rows.withColumn("entity_id", F.concat(F.lit("S"), F.col("src"), F.lit("-"), F.col("id")))
 
-    @functools.wraps(query)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        before = _whole.set(True)
-        try:
-            return query(spark, sf_dir)
-        finally:
-            _whole.reset(before)
 
-    return run
+def split(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A, B and the truth (a, b) of raw records."""
+    a, b = raw.where("src = 1"), raw.where("src > 1")
+    truth = a.select(F.col("id").alias("a"), "country", "same").join(b.select(F.col("id").alias("b"), "country", "same"), ["country", "same"])
+    return a, b, truth.select("a", "b")
 
 
-def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, entity_id, country, business_name, business_address, src, same): ``same`` is what the truth goes by."""
-    docs = table(spark, sf_dir, "documents")
-    if _whole.get():
-        same = F.coalesce(F.sha2("text", 256), F.concat(F.lit("null "), F.col("doc_id")))
-        docs = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "source", same.alias("same"), F.coalesce("text", F.lit("")).alias("text"))
-        width = ""
-    else:
-        docs = docs.where("text is not null and lang is not null and source is not null").withColumn("same", F.substring("text", 1, 60))
-        width = ", 200"
-    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int"), F.lit(0))
-    src = F.when(number < 10, 1).when(number < 15, 2).otherwise(3)
-    first = F.substring_index("text", "\n", 1)
-    rest = F.replace(F.expr(f"substring(text, length(substring_index(text, '\n', 1)) + 2{width})"), F.lit("\n"), F.lit(","))
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("country"), first.alias("business_name"), rest.alias("business_address"), src.alias("src"), "same")
-    return rows.withColumn("entity_id", F.concat(F.lit("S"), F.col("src"), F.lit("-"), F.col("id")))
+_prepared: dict[tuple[str, str, str], tuple[DataFrame, ...]] = {}
 
 
-_prepared: dict[tuple[str, str, str, bool], tuple[DataFrame, ...]] = {}
+def forget() -> None:
+    """The next query makes its stage tables anew."""
+    _prepared.clear()
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make) -> tuple[DataFrame, ...]:
     """Stage tables (S05, S06) are made once for an application and an input."""
-    at = (spark.sparkContext.applicationId, sf_dir, name, _whole.get())
+    at = (spark.sparkContext.applicationId, sf_dir, name)
     if at not in _prepared:
         _prepared[at] = make()
     return _prepared[at]
@@ -78,16 +51,12 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make) -> tuple[DataFrame,
 
 def registers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A and B, normalized, and the truth as (a, b)."""
-    return _once(spark, sf_dir, "registers", lambda: _registers(spark, sf_dir))
 
+    def make() -> tuple[DataFrame, ...]:
+        a, b, truth = split(raw_records(spark, sf_dir))
+        return cut(records.normalize(a)), cut(records.normalize(b)), truth
 
-def _registers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = raw_records(spark, sf_dir)
-    reference = rows.where("src = 1")
-    keep = reference.groupBy("country", "same").agg(F.min("id").alias("id")).select("id")
-    reference, others = reference.join(keep, "id", "left_semi"), rows.where("src > 1")
-    truth = reference.select(F.col("id").alias("a"), "country", "same").join(others.select(F.col("id").alias("b"), "country", "same"), ["country", "same"]).select("a", "b")
-    return cut(records.normalize(reference)), cut(records.normalize(others)), truth
+    return _once(spark, sf_dir, "registers", make)
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -100,16 +69,15 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return _once(spark, sf_dir, "keys", make)
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(a: DataFrame, b: DataFrame, ka: DataFrame, kb: DataFrame) -> DataFrame:
     """All pairs that share a key, with hits and the cheap score (rounded, so that ties are ties everywhere)."""
+    rows = blocking.cheap_score(blocking.with_records(blocking.key_pairs(ka, kb), a, b))
+    return rows.select("country", "a", "b", *(f"k_{k}" for k in KEY_TYPES), F.round("cheap", 9).alias("cheap"))
 
-    def make() -> tuple[DataFrame, ...]:
-        a, b, _ = registers(spark, sf_dir)
-        ka, kb = sides(spark, sf_dir)
-        rows = blocking.cheap_score(blocking.with_records(blocking.key_pairs(ka, kb), a, b))
-        return (cut(rows.select("country", "a", "b", *(f"k_{k}" for k in KEY_TYPES), F.round("cheap", 9).alias("cheap"))),)
 
-    return _once(spark, sf_dir, "scored", make)[0]
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, _ = registers(spark, sf_dir)
+    return _once(spark, sf_dir, "scored", lambda: (cut(scored(a, b, *sides(spark, sf_dir))),))[0]
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,14 +85,125 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "candidates", lambda: (cut(blocking.rank_and_prune(scored_pairs(spark, sf_dir))),))[0]
 
 
-def match_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From documents to (source1_entity_id, matched_entity_ids), a row for each record of A.
+# The whole run
+
+
+@dataclass
+class Split:
+    """Records of one set (training or test), and what the steps of the run add."""
+
+    a: DataFrame
+    b: DataFrame
+    truth: DataFrame
+    pairs: DataFrame | None = None
+    rows: DataFrame | None = None
+
+
+@dataclass(frozen=True)
+class RunRules:
+    """``most_rows``: about as many labelled pairs as a learner is fitted on, chosen by hash of the record; all pairs are scored."""
+
+    folds: int = 3
+    most_rows: int = 200_000
+    trees: dict = field(default_factory=lambda: {"maxIter": 10, "maxDepth": 4})
+    min_count: int = 3
+    min_alias: int = 20
+    min_occ: int = 50
+
 
-    A blocking-score run: half the cheap score stands in for the match probability and
-    the thresholds are fixed. No maps, features, models, calibration, stacking, tuning
-    or shift correction take part.
+def _in_parallel(work: list) -> list:
+    """Jobs that don't wait for one another, submitted at once."""
+    with ThreadPoolExecutor(len(work)) as pool:
+        return [f.result() for f in [pool.submit(w) for w in work]]
+
+
+def normalized(raw: DataFrame, maps: mine.Maps) -> Split:
+    a, b, truth = split(raw)
+    tables = _in_parallel([lambda x=x: cut(records.normalize(x, maps.transliterations, maps.aliases)) for x in (a, b)])
+    return Split(*tables, cut(truth))
+
+
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows at most, whole records at a time."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(53), "a"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+
+
+HITS = [f"k_{k}" for k in KEY_TYPES]
+
+
+def add_candidates(train: Split, test: Split, rules: RunRules) -> dict[int, float]:
+    """The pairs of both sets in the order of a ranker that is learned on the training set; its recall there by rank."""
+    for s in (train, test):
+        s.pairs = cut(scored(s.a, s.b, *keys.side_keys(s.a, s.b)).withColumn("hand", F.col("cheap")))
+    ranker = model.train_ranker(bounded(model.labelled(train.pairs, train.truth), rules.most_rows), ["hand", *HITS], modulus=1, **rules.trees)
+    recall = {}
+    for s in (train, test):
+        order = cut(model.learned_score(ranker, s.pairs))
+        if s is train:
+            recall = {r.k: r.recall for r in blocking.recall_at(order, train.truth).collect()}
+        s.pairs = cut(blocking.context(blocking.rank_and_prune(order)))
+    return recall
+
+
+def add_features(s: Split, generic: DataFrame) -> None:
+    """all features of the candidates of a set."""
+    s.rows = cut(model.labelled(features.pair_features(s.pairs, s.a, s.b, generic), s.truth))
+
+
+def _feature_names(rows: DataFrame) -> list[str]:
+    return [n for n, kind in rows.dtypes if kind in ("double", "bigint", "int", "boolean", "float") and n not in ("a", "b", "y", "p", "p_raw", "fold")]
+
+
+def _learned(train: DataFrame, test: DataFrame, rules: RunRules) -> tuple[DataFrame, DataFrame, list]:
+    """P of the training pairs out of fold and of the test pairs by the mean of the folds' models, both calibrated."""
+    names = _feature_names(train)
+    models = model.train_folds(bounded(train, rules.most_rows), names, lambda: model.boosted(**rules.trees), rules.folds, run=_in_parallel)
+    oof = cut(model.predict_oof(models, train))
+    calibrator = model.calibrator(oof)
+    return cut(model.calibrate(calibrator, oof)), cut(model.calibrate(calibrator, model.predict_test(models, test))), models
+
+
+def _stacked(rows: DataFrame, s: Split) -> DataFrame:
+    """K05 and X06 on the first round's p."""
+    base = rows.drop("p_raw").withColumnRenamed("p", "p1")
+    rows = features.extended_features(base.join(stack.cluster_features(base.select("a", "b", "p1"), s.b).drop("p1"), ["a", "b"]))
+    return rows.na.fill(0.0)  # ratios without a denominator
+
+
+def run(raw: DataFrame, in_test, rules: RunRules = RunRules()) -> tuple[DataFrame, dict]:
+    """From raw records to (a, b) of the test records, those with ``in_test``, and what was found on the way.
+
+    Maps are mined from the training pairs (M08), candidates ranked by a learned order
+    (B22), features made for both sets (F26), two rounds of models trained out of fold
+    and calibrated, the second one on the first one's view of each record's other
+    candidates (K05, X06), the rule tuned on the training pairs (D10), the test odds
+    corrected for the shift of the mix of pairs (P04) and decided on (D11).
     """
-    a, b, _ = registers(spark, sf_dir)
-    scored = candidates(spark, sf_dir).select("a", "b", F.least(F.col("cheap") / 2, F.lit(1.0)).alias("p"))
-    chosen = decide.apply_thresholds(decide.one_to_one(scored), 0.3, 0.6, 0.4)
-    return decide.id_lists(a.select(F.col("id").alias("a"), "entity_id"), chosen, b.select(F.col("id").alias("b"), F.col("entity_id").alias("b_entity_id")))
+    raw = cut(raw)
+    known, asked = raw.where(~in_test), raw.where(in_test)
+    maps = mine.mine_maps(known, split, records.normalize, cut, rules.min_count, rules.min_alias, rules.min_occ)
+    train, test = normalized(known, maps), normalized(asked, maps)
+    recall = add_candidates(train, test, rules)
+    generic = mine.generic_rates(maps.generic, train.a, test.a, test.b)
+    _in_parallel([lambda s=s: add_features(s, generic) for s in (train, test)])
+    first, first_test, _ = _learned(train.rows, test.rows, rules)
+    second, second_test, models = _learned(cut(_stacked(first, train)), cut(_stacked(first_test, test)), rules)
+    all_a = train.a.select(F.col("id").alias("a")).join(train.truth.groupBy("a").agg(F.count(F.lit(1)).alias("ntrue")), "a", "left").na.fill(0, ["ntrue"])
+    config = decide.tune(second.select("a", "b", "p", "y"), cut(all_a))
+    buckets = [pairs.join(s.rows.select("a", "b", shift.bucket().alias("bk")), ["a", "b"]) for pairs, s in ((second, train), (second_test, test))]
+    factors = shift.factors(*(shift.rates(p, s.a) for p, s in zip(buckets, (train, test), strict=True)))
+    corrected = shift.correct(buckets[1].select("a", "b", "country", "bk", "p"), cut(factors))
+    chosen = cut(decide.decide(corrected.select("a", "b", "p"), config).select("a", "b"))
+    return chosen, {"config": config, "recall": recall, "models": models, "train": train, "test": test, "scored": corrected}
+
+
+#: The records that the run decides on: a country that training hasn't, and every second firm of the others.
+IN_TEST = "country = 'FR' OR id % 2 = 1"
+
+
+def match_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source1_entity_id, matched_entity_ids), a row for each test record of A: the whole run, learned on the other records."""
+    chosen, found = run(raw_records(spark, sf_dir), F.expr(IN_TEST))
+    test = found["test"]
+    return decide.id_lists(test.a.select(F.col("id").alias("a"), "entity_id"), chosen, test.b.select(F.col("id").alias("b"), F.col("entity_id").alias("b_entity_id")))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coalign.functions import fuzzy, names
+from coalign.functions import names
+from coalign.functions.fold import fold
 from coalign.functions.vocabulary import KEY_TYPES
 from coalign.operators import blocking, decide, features, keys, mine, model, records, report, shift, stack, validate
 from coalign.sources.scratch import cut
@@ -95,20 +96,21 @@ def n_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "native", *(_joined(c).alias(c) for c in ("name_tok", "core_tok", "alt_tok")), "name_norm", "core", "compact", "legal")
 
 
-@query("N02_fold_values")
+@query("N02_fold_values", f"WITH {_DECORATED_SQL} SELECT id, {oracle.fold('business_name')} AS business_name FROM decorated")
 def n02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy.fold_column(_decorated(spark, sf_dir), "business_name").select("id", "business_name")
+    return _decorated(spark, sf_dir).select("id", fold(F.col("business_name")).alias("business_name"))
+
+
+_TRANSLITERATED = {"shrma": "sharma", "sarl": "limited", "s": "company"}
 
 
 @query(
     "N13_transliteration",
-    f"WITH {_DECORATED_SQL} SELECT id, array_to_string(CASE WHEN regexp_matches(business_name, '[\\x{{0900}}-\\x{{0DFF}}]') THEN "
-    f"{oracle.mapped(oracle.words('lower(business_name)'), {'sarl': 'limited', 's': 'company'})} ELSE {oracle.words('lower(business_name)')} END, '|') AS tok FROM decorated",
+    f"WITH {_DECORATED_SQL},{oracle.names('decorated', transliterated=_TRANSLITERATED)} SELECT id, native, array_to_string(name_tok, '|') AS name_tok, core, legal FROM named",
 )
 def n13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = names.words(F.lower("business_name"))
-    mapped = names.map_tokens(tokens, {"sarl": "limited", "s": "company"})
-    return _decorated(spark, sf_dir).select("id", F.array_join(F.when(names.is_native(F.col("business_name")), mapped).otherwise(tokens), "|").alias("tok"))
+    mined = spark.createDataFrame(list(_TRANSLITERATED.items()), "token string, target string")
+    return names.normalize_names(_decorated(spark, sf_dir), transliterated=mined).select("id", "native", _joined("name_tok").alias("name_tok"), "core", "legal")
 
 
 @query(
@@ -499,36 +501,18 @@ def d02(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EXPECTED = """
-few AS (SELECT * FROM best WHERE b % 40 = a % 40),
 ef AS (SELECT *, row_number() OVER w AS k, sum(p) OVER (PARTITION BY a ORDER BY p DESC, b ROWS UNBOUNDED PRECEDING) AS cs, sum(p) OVER (PARTITION BY a) AS s,
          CASE WHEN max(p) OVER (PARTITION BY a) >= 1 THEN 0 ELSE exp(sum(ln(1 - least(p, 0.9999))) OVER (PARTITION BY a)) END AS p0, max(p) OVER (PARTITION BY a) AS m
-       FROM few WINDOW w AS (PARTITION BY a ORDER BY p DESC, b)),
+       FROM best WINDOW w AS (PARTITION BY a ORDER BY p DESC, b)),
 eg AS (SELECT *, 1.25 * cs / (0.25 * s / 0.98 + k) AS f FROM ef),
 eh AS (SELECT *, max(f) OVER (PARTITION BY a) AS bf FROM eg),
 ei AS (SELECT *, min(CASE WHEN f = bf THEN k END) OVER (PARTITION BY a) AS kb FROM eh),
 chosen AS (SELECT * FROM ei WHERE bf > p0 AND k <= kb AND m >= 0.3)"""
 
 
-def _expected(pairs: DataFrame) -> DataFrame:
-    chosen = decide.expected_f05(pairs, 0.02, 0.3)
-    # the figure that the choice went by, from the rows chosen among
-    from pyspark.sql import Window as W
-
-    by = W.partitionBy("a").orderBy(F.desc("p"), "b")
-    value = 1.25 * F.sum("p").over(by.rowsBetween(W.unboundedPreceding, 0)) / (0.25 * F.sum("p").over(W.partitionBy("a")) / (1 - 0.02) + F.row_number().over(by))
-    shown = pairs.withColumns({"k": F.row_number().over(by), "f": F.round(value, 6)})
-    return shown.join(chosen.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", "k", "f")
-
-
-#: On a sample of the pairs, which its SQL has as well.
 @query("D03_expected_f05", f"WITH {SCORED}, {_EXPECTED} SELECT a, b, k, round(f, 6) AS f FROM chosen")
 def d03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _expected(decide.one_to_one(_labelled(spark, sf_dir)[0]).where("b % 40 = a % 40"))
-
-
-@query("D03_expected_f05_whole")
-def d03_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _expected(decide.one_to_one(_labelled(spark, sf_dir)[0]))
+    return decide.expected_f05(decide.one_to_one(_labelled(spark, sf_dir)[0]), 0.02, 0.3, shown=True).select("a", "b", "k", _r("f"))
 
 
 @query("D04_macro_f05", f"WITH {SCORED}, {_THRESHOLDS}, {per_a('chosen')} SELECT round(avg(f05), 9) AS macro_f05 FROM per_a")
@@ -656,7 +640,7 @@ def s21_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.outside_candidates(lists(o), lists(o.where("o_orderkey % 7 <> 0")))
 
 
-_P1 = f"WITH {SCORED}, d AS (SELECT a, b, p AS p1, src FROM labelled WHERE b % 10 = a % 10)"
+_P1 = f"WITH {SCORED}, d AS (SELECT a, b, p AS p1, src FROM labelled)"
 _BEST_OTHERS = f"""{_P1},
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY p1 DESC, b) AS r_a, row_number() OVER (PARTITION BY b ORDER BY p1 DESC, a) AS r_b, sum(p1) OVER (PARTITION BY a) AS psum_a, count(*) FILTER (p1 > 0.5) OVER (PARTITION BY a) AS n50_a FROM d)
 SELECT a, b, r_a, r_b, round(psum_a, 6) AS psum_a, n50_a,
@@ -670,24 +654,10 @@ def _p1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled(spark, sf_dir)[0].select("a", "b", F.col("p").alias("p1"), "src")
 
 
-def _sample(p1: DataFrame) -> DataFrame:
-    """The pairs that the SQL of K01, K03 and K04 is about."""
-    return p1.where("b % 10 = a % 10")
-
-
-def _best_others(p1: DataFrame) -> DataFrame:
-    rows = stack.ranks(p1.drop("src"))
-    return rows.select("a", "b", "r_a", "r_b", _r("psum_a"), "n50_a", _r("pother_a"), _r("pother_b"), "partner1", "partner2", _r("ppartner2"))
-
-
 @query("K01_K03_best_others", _BEST_OTHERS)
 def k01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best_others(_sample(_p1(spark, sf_dir)))
-
-
-@query("K01_K03_best_others_whole")
-def k01_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best_others(_p1(spark, sf_dir))
+    rows = stack.ranks(_p1(spark, sf_dir).drop("src"))
+    return rows.select("a", "b", "r_a", "r_b", _r("psum_a"), "n50_a", _r("pother_a"), _r("pother_b"), "partner1", "partner2", _r("ppartner2"))
 
 
 _COMPETITORS = f"""{_P1},
@@ -703,22 +673,14 @@ SELECT a, b, own_same_src::BIGINT AS own_same_src, own_total::BIGINT AS own_tota
   count(*) FILTER (p1 > 0.2) OVER (PARTITION BY b) AS n_amb_b, round(sum(p1) OVER (PARTITION BY b), 6) AS psum_b FROM j"""
 
 
-def _competitors(rows: DataFrame) -> DataFrame:
+@query("K04_competitors", _COMPETITORS)
+def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _p1(spark, sf_dir)
     out = stack.competitors(rows.drop("src"), rows.select("b", "src").distinct())
     counts = ("own_same_src", "own_total", "comp_same_src", "comp_total", "same_src_diff", "total_diff")
     return out.select("a", "b", *(F.col(c).cast("long").alias(c) for c in counts), _r("own_mass_same_src"), _r("comp_mass_same_src"), "no_comp", "n_amb_b", _r("psum_b"))
 
 
-@query("K04_competitors", _COMPETITORS)
-def k04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _competitors(_sample(_p1(spark, sf_dir)))
-
-
-@query("K04_competitors_whole")
-def k04_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _competitors(_p1(spark, sf_dir))
-
-
 @query("K02_K05_cluster_features")
 def k05(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, b, _ = registers(spark, sf_dir)
@@ -821,16 +783,12 @@ def m05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("M05_component_aliases")
 def m05_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mine.component_aliases(_loose(spark, sf_dir), registers(spark, sf_dir)[0], min_count=2)
+    return mine.component_aliases(_positives(spark, sf_dir), registers(spark, sf_dir)[0], min_count=5)
 
 
-@query("M04_transliterations")
+@query("M04_transliterations", "SELECT 'shrma' AS token, 'sharma' AS target")
 def m04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = names.normalize_names(fuzzy.fold_column(_decorated(spark, sf_dir).withColumn("raw", F.col("business_name")), "business_name"))
-    rows = rows.withColumn("native", names.is_native(F.col("raw")))
-    native = rows.where("native").select("id", F.col("name_tok").alias("b_name_tok"), F.col("native").alias("b_native"))
-    plain = rows.where("not native").select((F.col("id") + 10 - F.col("id") % 12).alias("id"), F.col("name_tok").alias("a_name_tok"), F.col("native").alias("a_native"))
-    return mine.transliterations(native.join(plain, "id"), min_count=1)
+    return mine.transliterations(_positives(spark, sf_dir)).where("token = 'shrma'").select("token", "target")
 
 
 @query(
@@ -863,10 +821,10 @@ def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.over_representation(a, b, least_a=20).select("t", "na", "nb", _r("ratio"), _r("over"))
 
 
-@query("M11_unseen_countries", f"WITH {REGISTERS} SELECT DISTINCT country FROM rec_b WHERE country NOT IN (SELECT country FROM rec_a WHERE country > 'en')")
+@query("M11_unseen_countries", f"WITH {REGISTERS} SELECT DISTINCT country FROM rec_b WHERE country NOT IN (SELECT country FROM rec_a WHERE country > 'FR')")
 def m11(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, _ = registers(spark, sf_dir)
-    return mine.unseen_countries(b, a.where("country > 'en'"))
+    return mine.unseen_countries(b, a.where("country > 'FR'"))
 
 
 # Reports
@@ -1021,15 +979,3 @@ def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("er_match_list")
 def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.match_list(spark, sf_dir)
-
-
-#: Queries over the registers. Those with SQL keep its prefixes, and others of the same name with _whole take whole texts; those without SQL always do.
-_OF_REGISTERS = [
-    "S05_registers", "L02_truth_pairs", "M02_skeleton_text", "B01_name_frequency", "B02_rarest_tokens", "B03_keys_t", "B04_keys_b", "B05_keys_c", "B05_keys_p", "B05_keys_s", "B06_keys_a", "B07_keys_d",
-    "B08_keys_x", "B09_keys_y", "B10_keys_e", "B11_all_keys", "B12_block_sizes", "B12_B13_capped_keys", "B14_key_pairs", "B15_sample", "B16_cheap_score", "B20_weighted_overlap", "B21_pruned", "B19_recall_at",
-    "B23_blocking_report", "F25_context", "F01_inverse_frequency", "F06_core_frequency", "F08_F09_set_features", "F10_F11_unmatched_tokens", "F24_all_features", "F15_jaro_winkler", "F14_string_ratios",
-    "F16_F18_F22_plain_features", "X06_extended_features", "S17_candidate_lists", "K02_K05_cluster_features", "M05_component_aliases", "M05_M06_replaced_components", "M07_insertion_rates", "M10_over_representation", "M11_unseen_countries", "R03_worst_pairs",
-    "L01_folds", "L03_labels", "L04_L07_out_of_fold", "B17_B18_learned_ranker", "E03_E04_blend", "er_match_list",
-]
-for _name in _OF_REGISTERS:
-    QUERIES[f"{_name}_whole" if _name in SQL else _name] = linkage.on_whole_texts(QUERIES[_name])
