@@ -122,15 +122,20 @@ def warc_record(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + head.encode("utf-8", "surrogateescape") + b"\r\n" + block + b"\r\n\r\n"
 
 
-def to_warc(record: ArcRecord, refers_to: tuple[int, str, str] | None = None) -> bytes:
-    """The WARC record of an ARC record; ``refers_to`` is the page, URL and date of the response that a revisit repeats."""
+def warc_id(record: ArcRecord, archive: str, place: int) -> str:
+    """Of a converted record: by all of its content, and where it was."""
+    return record_id(record.url, warc_date(record.date), hashlib.sha1(record.content).hexdigest(), archive, place)
+
+
+def to_warc(record: ArcRecord, archive: str, place: int, refers_to: tuple[int, str, str, str] | None = None) -> bytes:
+    """The WARC record of an ARC record; ``refers_to`` is the page, URL, date and record id of the response that a revisit repeats."""
     http = split_http(record.content)
     date = warc_date(record.date)
     kind = "resource" if http is None else "revisit" if refers_to else "response"
     payload = record.content if http is None else http[1]
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", record_id(record.url, date, record.content[:512], len(record.content))),
+        ("WARC-Record-ID", warc_id(record, archive, place)),
         ("WARC-Date", date),
         ("WARC-Target-URI", record.url),
         ("WARC-Payload-Digest", digest(payload)),
@@ -140,9 +145,9 @@ def to_warc(record: ArcRecord, refers_to: tuple[int, str, str] | None = None) ->
         fields.append(("WARC-IP-Address", record.ip))
     block = record.content
     if kind == "revisit":
-        page, url, at = refers_to
+        page, url, at, response = refers_to
         block = http[0]
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", at), ("WARC-Refers-To-Page-Id", str(page))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", response), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", at), ("WARC-Refers-To-Page-Id", str(page))]
     return warc_record([*fields, ("WARC-Block-Digest", digest(block))], block)
 
 
@@ -215,8 +220,8 @@ def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(write, ARCHIVE)
 
 
-INDEX = "archive string, place int, page_id long, url string, date string, payload_bytes long, payload_sha1 string"
-_INDEX_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+INDEX = "archive string, place int, page_id long, url string, date string, payload_bytes long, payload_sha1 string, record_id string"
+_INDEX_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
 
 
 def index_arc(archives: DataFrame) -> DataFrame:
@@ -228,7 +233,7 @@ def index_arc(archives: DataFrame) -> DataFrame:
                 out = []
                 for place, record in enumerate(read_arc(b"".join(gunzip(body.as_py())))):
                     if http := split_http(record.content):
-                        out.append((name, place, _page_id(http[0]), record.url, warc_date(record.date), len(http[1]), hashlib.sha1(http[1]).hexdigest()))
+                        out.append((name, place, _page_id(http[0]), record.url, warc_date(record.date), len(http[1]), hashlib.sha1(http[1]).hexdigest(), warc_id(record, name, place)))
                 yield _rows(INDEX, _INDEX_TYPES, out)
 
     return archives.mapInArrow(read, INDEX)
@@ -243,16 +248,16 @@ def revisits(index: DataFrame, least_bytes: int) -> DataFrame:
     long = index.where(F.col("payload_bytes") >= least_bytes)
     same = cut(
         long.groupBy("payload_sha1", "payload_bytes")
-        .agg(F.max(F.struct("page_id", "url", "date")).alias("last"), F.count(F.lit(1)).alias("n"))
+        .agg(F.max(F.struct("page_id", "url", "date", "record_id")).alias("last"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 and last.page_id is not null")
-        .select("payload_sha1", "n", F.col("last.page_id").alias("to_page"), F.col("last.url").alias("to_url"), F.col("last.date").alias("to_date"))
+        .select("payload_sha1", "n", F.col("last.page_id").alias("to_page"), F.col("last.url").alias("to_url"), F.col("last.date").alias("to_date"), F.col("last.record_id").alias("to_record"))
     )
     hot = F.col("n") > F.lit(max(HOT_ROWS, index.count() // MOST_HOT))
     rows = long.select("archive", "place", "page_id", "payload_sha1")
     named = rows.join(F.broadcast(same.where(hot)), "payload_sha1", "left")
     cold = named.where("to_page is null").select(*rows.columns).join(same.where(~hot), "payload_sha1")
     both = named.where("to_page is not null").unionByName(cold)
-    return both.where(~F.col("page_id").eqNullSafe(F.col("to_page"))).select("archive", "place", "to_page", "to_url", "to_date")
+    return both.where(~F.col("page_id").eqNullSafe(F.col("to_page"))).select("archive", "place", "to_page", "to_url", "to_date", "to_record")
 
 
 def convert(archives: DataFrame, repeats: DataFrame) -> DataFrame:
@@ -262,14 +267,14 @@ def convert(archives: DataFrame, repeats: DataFrame) -> DataFrame:
         if not arc.num_rows:
             return _rows_table([])
         name, body = arc["archive"][0].as_py(), arc["body"][0].as_py()
-        refers = {r["place"]: (r["to_page"], r["to_url"], r["to_date"]) for r in own.to_pylist()}
+        refers = {r["place"]: (r["to_page"], r["to_url"], r["to_date"], r["to_record"]) for r in own.to_pylist()}
         new = name.replace(".arc", ".warc")
         info = b"software: coalign\r\nformat: WARC File Format 1.1\r\n"
         out: list[bytes] = []
         for place, record in enumerate(read_arc(b"".join(gunzip(body)))):
             if not out:
                 out.append(_member(warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(new)), ("WARC-Date", warc_date(record.date)), ("WARC-Filename", new), ("Content-Type", "application/warc-fields")], info)))
-            out.append(_member(to_warc(record, refers.get(place))))
+            out.append(_member(to_warc(record, name, place, refers.get(place))))
         return _rows_table([(new, b"".join(out))])
 
     def _rows_table(rows: list[tuple]) -> pa.Table:

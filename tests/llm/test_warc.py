@@ -18,14 +18,22 @@ def test_arc_round_trip(version):
     read = list(warc.read_arc(data))
     assert [(r.content, r.kind, r.version) for r in read] == [(r.content, r.kind, version) for r in records]
     assert read[0].url == "http://a.example/x%20y"
-    blocks = [next(warc.read_warc(warc.to_warc(r))) for r in read]
+    blocks = [next(warc.read_warc(warc.to_warc(r, "t.arc", i))) for i, r in enumerate(read)]
     assert [f["warc-type"] for f, _ in blocks] == ["response", "resource", "resource"]
     assert [f["warc-date"] for f, _ in blocks] == ["2024-02-29T12:00:00Z", "1999-12-01T00:00:00Z", "1970-01-01T00:00:00Z"]
     assert [b for _, b in blocks] == [r.content for r in records]
-    fields, block = next(warc.read_warc(warc.to_warc(read[0], (7, "http://c/", "2024-01-01T00:00:00Z"))))
+    fields, block = next(warc.read_warc(warc.to_warc(read[0], "t.arc", 0, (7, "http://c/", "2024-01-01T00:00:00Z", "<urn:uuid:1>"))))
+    assert fields["warc-refers-to"] == "<urn:uuid:1>"
     assert fields["warc-type"] == "revisit" and block.endswith(b"\r\n\r\n") and fields["warc-refers-to-page-id"] == "7"
 
 
+def test_record_ids():
+    """Captures of one address and time that differ late in their content, or are alike in two places, have ids of their own."""
+    record = lambda c: warc.ArcRecord("http://a/", "1.2.3.4", "20240101000000", "text/html", c, 1)
+    one, two = record(b"x" * 600 + b"1"), record(b"x" * 600 + b"2")
+    assert len({warc.warc_id(one, "a", 0), warc.warc_id(two, "a", 0), warc.warc_id(one, "a", 1), warc.warc_id(one, "b", 0)}) == 4
+
+
 def test_blank_in_url_and_broken_archives():
     body = b"1 0 x\nURL IP-address Archive-date Content-type Archive-length\n"
     head = f"filedesc://o 0.0.0.0 2024 text/plain {len(body)}\n".encode() + body
@@ -42,7 +50,7 @@ def test_pages(spark):
     rows += [(100 + i, "h", "z" * 1000, 0) for i in range(1500)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, archive int")
     got = warc.read_pages(warc.pages_to_warc(pages)).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) == len({r.record_id for r in got})
     for r in got:
         html = next(h for k, _, h, _ in rows if k == r.page_id) or ""
         assert (r.payload_bytes, r.payload_digest) == (len(html.encode()), hashlib.sha1(html.encode()).hexdigest())
