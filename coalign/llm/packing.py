@@ -100,7 +100,7 @@ def pack(cut: DataFrame, rows: int, capacity: int = 2048, group_rows: int = 16_3
             placed[i] = packer.place(int(lengths[i]))
         return table.append_column("sequence_id", pa.array(placed[:, 0] + (group << 32))).append_column("offset", pa.array(placed[:, 1].copy()))
 
-    grouped = cut.withColumn("group", F.pmod(F.xxhash64(doc_key("doc_id"), "start"), F.lit(groups)))
+    grouped = cut.withColumn("group", F.pmod(F.xxhash64(doc_key("doc_id"), "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return grouped.groupBy("group").applyInArrow(place, PACKED)
 
 
@@ -109,7 +109,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     A null or empty text has ``end_id`` alone. A document longer than a sequence gives
     full sequences and a remainder. Repeated rows are packed as rows of their own; a
-    missing id is kept. Within a group the order is fixed by the ids, so reruns agree.
+    missing id is kept. The row's number takes part in the choice of its group, so rows
+    without an id and repeated rows spread like others; reruns over the same files agree.
     An empty table gives an empty result.
     """
     return pack(pieces(docs, tokenizer, id_col, text_col, capacity, end_id), docs.count(), capacity)
