@@ -43,8 +43,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     group. Other columns are not read. An empty table gives an empty result.
     """
     rows = cut(
-        docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("text_sha256"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
-    ).withColumn("row", F.monotonically_increasing_id())
+        docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("text_sha256"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), F.monotonically_increasing_id().alias("row"))
+    )
     n = rows.count()
     words = power_of_two(n * BITS_PER_ROW / 64, 64)
     h = F.xxhash64("text_sha256")
