@@ -2,10 +2,9 @@
 
 Two histograms of a document, of character classes and of the common words of its
 language, are compared with those of the whole corpus in that language by the
-Jensen-Shannon distance. The common words are found exactly in two passes: a word
-with at least ``share`` of all words of a language has at least that share in one
-part of the corpus, so each part names its candidates (no more than 1 / share), and
-the second pass counts the candidates over everything.
+Jensen-Shannon distance. The common words, those with at least ``share`` of all words
+of a language, are found exactly in two passes: partial counts leave a bounded number
+of candidates, which the second pass counts over everything.
 
 A short document scatters around the reference: a histogram of n draws over k bins
 has an expected divergence of about (k - 1) / (2 n) nats. The limits are widened by
@@ -25,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Fixed classes of characters: lower case, upper case, other letters, digits, white space, stops, quotes and brackets, symbols, the rest.
 CLASSES = ("lower", "upper", "letter", "digit", "space", "stop", "quote", "symbol", "other")
 _STOPS, _QUOTES, _SYMBOLS = ".,;:!?", "\"'()[]{}-–—«»“”‘’„…¿¡", "#*$%&|<>@+=/\\^~_`"
@@ -46,6 +47,8 @@ class QualityRules:
     min_common_words: int = 50
     noise: float = 0.25
     share: float = 0.002
+    part_words: int = 500_000
+    least_part_words: int = 20_000
     #: Has no effect: every language is its own reference at every size. Callers that set it still can.
     min_reference_words: int = 20_000
 
@@ -145,74 +148,84 @@ def _lang_key(lang):
     return F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang")
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: QualityRules = QualityRules()) -> dict[str | None, Reference]:
-    """The reference of each language, and of all together under None.
+_COUNTS = "lang string, word string, n long"
+
+
+def _count_rows(rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
 
-    Only these counts reach the driver: languages times (classes + 1 / share) numbers.
+def _partial_counts(rows: DataFrame, rules: QualityRules) -> DataFrame:
+    """(lang, word, n): w and a word with part of its count, n with words, p with words of parts that were counted by their frequent words only, c and a class.
+
+    A language is counted in parts of ``part_words`` words or so. Of a part only words
+    of an eighth of the share at least are named, 8 / share of them at most; what a task
+    has left of a language is a part too, or if it is small, told in full.
     """
-    rows = docs.select(_lang_key(lang_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    share = rules.share
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = defaultdict(Counter)
+        own: Counter = Counter()
         classes: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(CLASSES), np.int64))
         totals: Counter = Counter()
-        seen = 0
-
-        def out():
-            lang, word, n = [], [], []
-            for key, c in counts.items():
-                least = share * sum(c.values())
-                for w, k in c.items():
-                    if k >= least:
-                        lang.append(key), word.append(f"w{w}"), n.append(k)
-            for key, c in classes.items():
-                lang += [key] * len(CLASSES)
-                word += [f"c{i}" for i in range(len(CLASSES))]
-                n += [int(x) for x in c]
-            for key, k in totals.items():
-                lang.append(key), word.append("n"), n.append(k)
-            counts.clear(), classes.clear(), totals.clear()
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+
+        def part(lang: str) -> list[tuple[str, str, int]]:
+            words, n = counts.pop(lang), own.pop(lang)
+            if n < rules.least_part_words:
+                return [(lang, f"w{w}", k) for w, k in words.items()]
+            least = rules.share / 8 * n
+            return [(lang, "p", n), *((lang, f"w{w}", k) for w, k in words.items() if k >= least)]
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _TOKEN.findall(text.lower())
                 counts[lang].update(words)
-                classes[lang] += class_counts(text)
+                own[lang] += len(words)
                 totals[lang] += len(words)
-                seen += len(words)
-                if seen >= 2_000_000:  # a part of the corpus; bounds the memory of a task
-                    seen = 0
-                    yield out()
-        yield out()
-
-    named = rows.mapInArrow(candidates, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
-    found: dict[str, tuple[np.ndarray, set[str], int]] = {}
-    for key in {r["lang"] for r in named}:
-        own = {r["word"]: r["n"] for r in named if r["lang"] == key}
-        found[key] = (np.array([own.get(f"c{i}", 0) for i in range(len(CLASSES))]), {w[1:] for w in own if w[0] == "w"}, own.get("n", 0))
-    wanted = set().union(*(words for _, words, _ in found.values())) if found else set()
+                classes[lang] += class_counts(text)
+                if own[lang] >= rules.part_words:
+                    yield _count_rows(part(lang))
+            if sum(own.values()) >= 4 * rules.part_words:  # many languages: what is held stays bounded
+                yield _count_rows([x for lang in list(counts) for x in part(lang)])
+        rest = [x for lang in list(counts) for x in part(lang)]
+        rest += [(lang, f"c{i}", int(x)) for lang, c in classes.items() for i, x in enumerate(c)]
+        yield _count_rows(rest + [(lang, "n", n) for lang, n in totals.items()])
+
+    return rows.mapInArrow(count, _COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: QualityRules = QualityRules()) -> dict[str, Reference]:
+    """The reference of each language.
+
+    A word of the share at least has over seven eighths of that in the partial counts,
+    as what they leave out is under an eighth. So fewer than 8 / 7 / share words of a
+    language are looked at by the second pass, which counts them exactly, and this many
+    numbers a language and no more reach the driver.
+    """
+    rows = docs.select(_lang_key(lang_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    partial = cut(_partial_counts(rows, rules))
+    totals = partial.where("word in ('n', 'p')").groupBy("lang").agg(F.max(F.when(F.col("word") == "n", F.col("n"))).alias("words"), F.max(F.when(F.col("word") == "p", F.col("n"))).alias("parts"))
+    least = rules.share * (F.col("words") - F.coalesce("parts", F.lit(0)) / 8)
+    named = partial.join(totals, "lang").where(~F.col("word").startswith("w") | (F.col("n") >= least - 1e-6)).select("lang", "word", "n").collect()
+    found: dict[str, tuple[np.ndarray, frozenset[str], int]] = {}
+    by_lang: dict[str, dict[str, int]] = defaultdict(dict)
+    for r in named:
+        by_lang[r["lang"]][r["word"]] = r["n"]
+    for key, own in by_lang.items():
+        found[key] = (np.array([own.get(f"c{i}", 0) for i in range(len(CLASSES))]), frozenset(w[1:] for w in own if w[0] == "w"), own.get("n", 0))
+    wanted = {key: words for key, (_, words, _) in found.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts[lang].update(filter(wanted.__contains__, _TOKEN.findall(text.lower())))
-        flat = [(k, w, n) for k, c in counts.items() for w, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+                counts[lang].update(filter(wanted[lang].__contains__, _TOKEN.findall(text.lower())))
+        yield _count_rows([(k, w, n) for k, c in counts.items() for w, n in c.items()])
 
     exact: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+    for r in rows.mapInArrow(count, _COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
         exact[r["lang"]][r["word"]] = r["n"]
-    out: dict[str | None, Reference] = {}
-    for key, (classes, _, n) in found.items():
-        out[key] = _reference(classes, exact[key], n, share)
-    whole = Counter()
-    for c in exact.values():
-        whole.update(c)
-    out[None] = _reference(sum((x[0] for x in found.values()), np.zeros(len(CLASSES), np.int64)), whole, sum(x[2] for x in found.values()), share)
-    return out
+    return {key: _reference(classes, exact[key], n, rules.share) for key, (classes, _, n) in found.items()}
 
 
 def verdict(text: str, reference: Reference | None, rules: QualityRules = QualityRules()) -> tuple[float | None, float | None, bool]:
@@ -242,7 +255,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``: the base counts, the two distances and ``kept``.
 
     A null text counts as empty: it has no words and fails the base rules. A null
-    language is a language of its own. Repeated rows each get their row. Documents are held
+    language counts as the language ''. Repeated rows each get their row. Documents are held
     against their own language, whatever its size. An empty table gives an empty result.
     """
     found = references(docs, text_col, lang_col, rules)
