@@ -43,7 +43,7 @@ class NearDuplicates:
     similarity: float = 0.8
     bands: int = 25
     rows: int = 5
-    block_bytes: int = 2 << 20
+    block_bytes: int = 1 << 20
     #: Most documents that are signed at once, and about the most nodes and shingles in a block of a band key.
     block_docs: int = 2_000
     block_nodes: int = 384
