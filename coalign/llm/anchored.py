@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, chunked, cut, cut_buckets, free_shuffles, mix, powers, unpack, word_bounds, word_hashes
+from .common import _BYTE, chunked, cut, cut_buckets, mix, powers, unpack, word_bounds, word_hashes
 
 BLOB = "part int, chunk long, kind int, body binary"
 _BLOB_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
@@ -417,5 +417,4 @@ def drop_repeats(docs: DataFrame, scheme: Scheme, order: Callable, write: Callab
         return write(raw, offsets, units, first, removed_units(scheme, c, back[1], keys, len(units)), keys, has_id)
 
     back = bits.unionByName(masks)
-    free_shuffles(chunks.sparkSession)
     return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(finish, schema)

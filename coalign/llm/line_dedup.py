@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchored import BLOB, _blobs, _short, _slices, _unzip, _zip
-from .common import _UNBASE, chunked, cut, cut_buckets, free_shuffles, mix, powers, unpack, word_bounds, word_hashes
+from .common import _UNBASE, chunked, cut, cut_buckets, mix, powers, unpack, word_bounds, word_hashes
 
 RESULT = "doc_id long, n_lines long, n_removed long, kept string"
 
@@ -277,7 +277,6 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             kept.append(text)
         return pa.table({"doc_id": pa.array(keys, mask=~has_id), "n_lines": pa.array(x.n_lines.astype(np.int64)), "n_removed": pa.array(np.diff(by_doc).astype(np.int64)), "kept": pa.array(kept, pa.string())})
 
-    free_shuffles(chunks.sparkSession)
     return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(finish, RESULT)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchored import BLOB, _blobs, _unzip, _zip
-from .common import chunked, cut, cut_buckets, free_shuffles, mix, unpack, word_bounds, word_hashes
+from .common import chunked, cut, cut_buckets, mix, unpack, word_bounds, word_hashes
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 START, END = np.uint64(0x5EED00000000005A), np.uint64(0x5EED0000000000E5)
@@ -350,7 +350,6 @@ def score(chunks: DataFrame, model: Model, rules: LmRules = LmRules()) -> DataFr
             }
         )
 
-    free_shuffles(chunks.sparkSession)
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, RESULT)
 
 
