@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,17 +44,39 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writers, _before = threading.Lock(), 0, "false"
+
+
+@contextmanager
+def _without_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Writes in here drop their shuffle files when they are done: what they made is read from their table."""
+    global _writers, _before
+    with _lock:
+        if not _writers:
+            _before = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _writers += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            if not _writers:
+                spark.conf.set(_CLEANUP, _before)
+
+
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """The same rows, read back from a table in the shared scratch folder.
 
     This cuts the lineage: what comes later does not depend on shuffle files of
-    executors that may be lost. Shuffle files of steps that are done are dropped first.
+    executors that may be lost, and these are dropped once the table is there.
     """
     spark = df.sparkSession
-    free_shuffles(spark)  # of the steps before this one
     path, schema = f"{scratch_dir(spark)}/{uuid.uuid4().hex}", df.schema
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with _without_leftovers(spark):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     back = spark.read.schema(schema).parquet(path)
     back._scratch = path
     return back
@@ -65,10 +89,10 @@ def cut_buckets(df: DataFrame, key: str) -> DataFrame:
     other side only.
     """
     spark = df.sparkSession
-    free_shuffles(spark)
     name = f"coalign_{uuid.uuid4().hex}"
     path, buckets = f"{scratch_dir(spark)}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    with _without_leftovers(spark):
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
     back = spark.table(name)
     back._scratch = path
     return back
@@ -78,9 +102,3 @@ def drop(*tables: DataFrame) -> None:
     """Deletes stage tables that nothing will read any more."""
     for table in tables:
         _delete(table.sparkSession, table._scratch)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files that no live DataFrame refers to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
