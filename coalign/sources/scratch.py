@@ -98,7 +98,7 @@ def cut_buckets(df: DataFrame, key: str) -> DataFrame:
     return back
 
 
-def drop(*tables: DataFrame) -> None:
-    """Deletes stage tables that nothing will read any more."""
+def drop(*tables: DataFrame, part: str = "") -> None:
+    """Deletes stage tables, or a ``part`` of them (column=value), that nothing will read any more."""
     for table in tables:
-        _delete(table.sparkSession, table._scratch)
+        _delete(table.sparkSession, f"{table._scratch}/{part}".rstrip("/"))
