@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchored import BLOB, _blobs, _unzip, _zip
-from .common import chunked, cut, cut_buckets, mix, unpack, word_bounds, word_hashes
+from .common import chunked, cut, cut_buckets, drop, mix, unpack, word_bounds, word_hashes
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 START, END = np.uint64(0x5EED00000000005A), np.uint64(0x5EED0000000000E5)
@@ -112,12 +112,12 @@ def _held(keys: np.ndarray, has_id: np.ndarray, rules: LmRules) -> np.ndarray:
     return np.array([zlib.crc32(str(k).encode() if h else b"") % rules.folds == rules.held_out for k, h in zip(keys.tolist(), has_id.tolist(), strict=True)], bool)
 
 
-def _training(raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray, has_id: np.ndarray, rules: LmRules) -> tuple[np.ndarray, np.ndarray, int]:
-    """Tokens and the ones before them of the documents to learn from, and how many these are."""
+def _training(raw: np.ndarray, offsets: np.ndarray, keys: np.ndarray, has_id: np.ndarray, rules: LmRules) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens and the ones before them of the documents to learn from, and the offsets of these in them."""
     token, before, bounds = tokens(raw, offsets)
     learn = ~_held(keys, has_id, rules)
     keep = np.repeat(learn, np.diff(bounds))
-    return token[keep], before[keep], int(learn.sum())
+    return token[keep], before[keep], np.concatenate((np.zeros(1, np.int64), np.cumsum(np.diff(bounds)[learn])))
 
 
 def _bigrams(token: np.ndarray, before: np.ndarray, parts: int) -> np.ndarray:
@@ -141,12 +141,21 @@ def _word_order(words: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[i
 
 def _sums(value: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     """(distinct values, their sums, the order by value, where each distinct value begins in it)."""
-    order = np.argsort(value, kind="stable")
+    order = np.argsort(value)
     v = value[order]
     begin = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
     return v[begin], [np.add.reduceat(c[order].astype(np.int64), begin) if len(v) else c.astype(np.int64) for c in counts], order, begin
 
 
+def _words(token: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct words, the start of a text among them, the number of each token's word, that of the word before it); ``bounds`` are the documents' offsets in the tokens."""
+    words, which = np.unique(np.append(token, START), return_inverse=True)
+    before = np.empty(len(token), np.int64)
+    before[1:] = which[:-2] if len(token) else 0
+    before[bounds[:-1]] = which[-1]
+    return words, which[:-1], before
+
+
 def _times(a: np.ndarray) -> list[int]:
     return [int((a == i).sum()) for i in (1, 2, 3, 4)]
 
@@ -193,20 +202,19 @@ def count_words(chunks: DataFrame, owned: DataFrame, rules: LmRules, parts: int,
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         back = _back(right)
         keys, raw, offsets, has_id, _ = unpack(left["body"][0].as_buffer())
-        token, before, docs = _training(raw, offsets, keys, has_id, rules)
-        value, at = np.unique(_bigrams(token, before, parts), return_index=True)
+        token, before, bounds = _training(raw, offsets, keys, has_id, rules)
+        value, _, order, begin = _sums(_bigrams(token, before, parts))
+        at = order[begin]
         seen = np.zeros(len(value), np.uint8)
         for p, s, e in _stretches((value >> np.uint64(40)).astype(np.int64)):
             seen[s:e] = _unzip(back[0, p])[0]
-        words, times = np.unique(token, return_counts=True)
-        if docs:
-            words, times = np.append(words, START), np.append(times, docs)
-            sort = np.argsort(words)
-            words, times = words[sort], times[sort]
+        words, last, first = _words(token, bounds)
+        times = np.bincount(last, minlength=len(words))
+        times[np.searchsorted(words, START)] = len(bounds) - 1
         own = seen > 0
-        last, first, seen = token[at[own]], before[at[own]], seen[own]
-        ends = np.bincount(np.searchsorted(words, last), minlength=len(words))
-        begins = [np.bincount(np.searchsorted(words, first[seen == i]), minlength=len(words)) for i in (1, 2, 3)]
+        last, first, seen = last[at[own]], first[at[own]], seen[own]
+        ends = np.bincount(last, minlength=len(words))
+        begins = [np.bincount(first[seen == i], minlength=len(words)) for i in (1, 2, 3)]
         order, stretches = _word_order(words, parts)
         columns = [c[order].astype(np.uint32) for c in (times, ends, *begins)]
         words = words[order]
@@ -216,7 +224,7 @@ def count_words(chunks: DataFrame, owned: DataFrame, rules: LmRules, parts: int,
         got = [_unzip(b) for b in table["body"].to_pylist()]
         value, (times, ends, one, two, more), _, _ = _sums(np.concatenate([from_planes(g[0]) for g in got]), *(np.concatenate([g[i] for g in got]) for i in range(1, 6)))
         # of bigrams that aren't stored all mass backs off
-        backoff = ((bigram.one if rules.singletons else 1.0) * one + bigram.two * two + bigram.more * more) / times
+        backoff = ((bigram.one if rules.singletons else 1.0) * one + bigram.two * two + bigram.more * more) / np.maximum(times, 1)
         real = value != START
         p = key[0].as_py()
         numbers = np.array([*_times(ends[real]), int((ends[real] > 2).sum()), int(times[real].sum()), int(real.sum())], np.int64)
@@ -253,11 +261,12 @@ def train(chunks: DataFrame, rules: LmRules = LmRules()) -> Model:
     """A model of the documents of a chunk table that aren't held out."""
     size = chunks.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     parts = max(1, -(-size // rules.part_bytes))
-    pairs = cut(count_bigrams(chunks, rules, parts))
+    pairs = cut(count_bigrams(chunks, rules, parts), "kind")
     counts = _numbers(pairs)
     counts = counts if len(counts) else np.zeros(5, np.int64)
     bigram = Discounts.of(counts[:4].tolist())
     words = cut(count_words(chunks, pairs.where("kind = 0"), rules, parts, bigram))
+    drop(pairs, part="kind=0")
     ends = _numbers(words)
     ends = ends if len(ends) else np.zeros(7, np.int64)
     unigram, types = Discounts.of(ends[:4].tolist()), int(counts[4])
@@ -321,7 +330,7 @@ def score(chunks: DataFrame, model: Model, rules: LmRules = LmRules()) -> DataFr
         back = _back(right)
         keys, raw, offsets, has_id, _ = unpack(left["body"][0].as_buffer())
         token, before, bounds = tokens(raw, offsets)
-        words = np.unique(np.append(token, START))
+        words, w, v = _words(token, bounds)
         order, stretches = _word_order(words, parts)
         count, ends, backoff = np.zeros(len(words)), np.zeros(len(words)), np.ones(len(words))
         for p, s, e in stretches:
@@ -333,7 +342,7 @@ def score(chunks: DataFrame, model: Model, rules: LmRules = LmRules()) -> DataFr
         times = np.zeros(len(value))
         for p, s, e in _stretches((value >> np.uint64(40)).astype(np.int64)):
             times[s:e] = from_planes(_unzip(back[1, p])[0])
-        w, v, times = np.searchsorted(words, token), np.searchsorted(words, before), times[which]
+        times = times[which]
         total = np.maximum(count, 1)
         p = np.where(times > 0, np.minimum(1.0, np.maximum(times - totals.bigram(times), 0) / total[v]), 0.0) + backoff[v] * totals.unigram_p(ends)[w]
         base = np.log10((count + 1) / (totals.tokens + 1 * (totals.words + 1)))[w]
