@@ -46,7 +46,7 @@ def factors(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def odds(p: Column, f: Column) -> Column:
     """P04."""
-    return p * f / (p * f + 1 - p)
+    return F.least(F.lit(1.0), p * f / (p * f + 1 - p))
 
 
 def correct(pairs: DataFrame, f: DataFrame) -> DataFrame:

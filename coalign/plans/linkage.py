@@ -198,6 +198,14 @@ def run(raw: DataFrame, in_test, rules: RunRules = RunRules()) -> tuple[DataFram
     return chosen, {"config": config, "recall": recall, "models": models, "train": train, "test": test, "scored": corrected}
 
 
+def blocking_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source1_entity_id, matched_entity_ids), a row for each record of A, without anything learned: half the cheap score stands in for the match probability, the thresholds are fixed."""
+    a, b, _ = registers(spark, sf_dir)
+    pairs = candidates(spark, sf_dir).select("a", "b", F.least(F.col("cheap") / 2, F.lit(1.0)).alias("p"))
+    chosen = decide.apply_thresholds(decide.one_to_one(pairs), 0.3, 0.6, 0.4)
+    return decide.id_lists(a.select(F.col("id").alias("a"), "entity_id"), chosen, b.select(F.col("id").alias("b"), F.col("entity_id").alias("b_entity_id")))
+
+
 #: The records that the run decides on: a country that training hasn't, and every second firm of the others.
 IN_TEST = "country = 'FR' OR id % 2 = 1"
 

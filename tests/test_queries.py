@@ -34,8 +34,9 @@ def test_against_sql(spark, con, name):
     assert rows_of(got) == rows_of(want)
 
 
-def test_match_list(spark):
-    rows = registry.queries()["er_match_list"](spark, SF_DIR).collect()
+@pytest.mark.parametrize("name", ["er_blocking_list"])
+def test_match_list(spark, name):
+    rows = registry.queries()[name](spark, SF_DIR).collect()
     ids = [r.source1_entity_id for r in rows]
     assert ids and len(ids) == len(set(ids))
     matched = [m for r in rows for m in r.matched_entity_ids.split(",") if m]
