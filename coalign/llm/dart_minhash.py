@@ -267,7 +267,13 @@ def links(docs: DataFrame, buckets: DataFrame, texts: DataFrame, p: NearDuplicat
 
 
 def search(named: DataFrame, texts: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
-    """(a, b): links that connect all similar nodes of the buckets (bucket, band, size, node, class) that have several classes.
+    """(a, b): links that connect all similar nodes of the buckets (bucket, band, size, node, class) that have several classes."""
+    rows = search_rows(named, texts, sets, p)
+    return rows.repartition("block").sortWithinPartitions("block", "side", "node").mapInArrow(_searcher(p), "a long, b long").distinct()
+
+
+def search_rows(named: DataFrame, texts: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
+    """What is searched: a row for each node of a pair of blocks.
 
     The largest class of a bucket is its core, whose nodes needn't meet each other.
     Core and rest are dealt to blocks by hash, as many as it takes for about
@@ -289,8 +295,7 @@ def search(named: DataFrame, texts: DataFrame, sets: DataFrame, p: NearDuplicate
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outer") - 1 + F.when(F.col("inside"), 0).otherwise(F.col("inner")))))
     block = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in (F.col("bucket"), F.least(mine, other), F.greatest(mine, other)))))
     rows = rows.join(texts.select("node", "weight", "signature"), "node").join(sets, "node")
-    rows = rows.select(block.alias("block"), (mine > other).cast("int").alias("side"), "node", "class", "weight", p.size(F.col("weight")).alias("own"), "band", "size", "signature", "cells")
-    return rows.repartition("block").sortWithinPartitions("block", "side", "node").mapInArrow(_searcher(p), "a long, b long").distinct()
+    return rows.select(block.alias("block"), (mine > other).cast("int").alias("side"), "node", "class", "weight", p.size(F.col("weight")).alias("own"), "band", "size", "signature", "cells")
 
 
 def _searcher(p: NearDuplicates):

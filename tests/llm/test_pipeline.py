@@ -67,3 +67,27 @@ def test_pieces(spark):
     texts = {1: "a b c", 2: "d " * 3000}
     rows = cp.pack(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "").collect()
     check_packed(rows, texts, WordBpe(tokenizer_path()))
+
+
+def test_columns_with_the_stages_own_names(spark, docs):
+    """Extra columns come through every stage but the last as they were."""
+    extra = ("__key", "__text_key", "__copy", "__taken", "__size", "size", "row", "node")
+    wide = cut(docs.selectExpr("*", *(f"concat('{c} ', doc_id) AS {c}" for c in extra)))
+    for name, stage in cp.STAGES[:-1]:
+        wide = cut(stage(spark, wide, ""))
+        assert wide.columns == [*docs.columns, *extra]
+        for r in wide.collect():
+            assert [r[c] for c in extra] == [f"{c} {r.doc_id}" for c in extra]
+    assert cp.pack(spark, wide, "").count() > 0
+
+
+def test_null_ids_and_texts_through_the_stages(spark):
+    good = " ".join(f"word{i % 40} other{i}" for i in range(60))
+    rows = [(None, good, "en", "s", 1, "x"), (None, good, "en", "s", 1, "x"), (4, good, "en", None, 1, "x"), (4, good, "en", None, 1, "x"), (5, None, None, None, None, None), (None, None, None, None, None, None)]
+    docs = cut(spark.createDataFrame(rows, SCHEMA))
+    kept = cut(cp.quality_rules(spark, docs, ""))
+    assert kept.count() == 4
+    exact = cut(cp.exact_copies(spark, kept, ""))
+    assert [r.doc_id for r in exact.collect()] == [4]
+    assert cp.near_copies(spark, docs, "").count() == 4  # both rows of 4, and the texts without words
+    assert {r.doc_id for r in cp.mix(spark, exact, "").collect()} == {4}
