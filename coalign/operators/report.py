@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import average_ranks, grid_median
+
 SEGMENTS = (("country",), ("truth_size",), ("candidate_band",), ("margin_band",), ("address_state",), ("country", "margin_band"), ("country", "candidate_band"))
 
 
@@ -64,22 +66,22 @@ def correlations(rows: DataFrame, features: list[str], y: str = "y") -> DataFram
 
 
 def rank_correlations(rows: DataFrame, features: list[str], y: str = "y") -> DataFrame:
-    """(feature, spearman): Pearson of average ranks. Ranks come from counts by value, so no sort of all rows is needed in one task."""
-    parts = []
-    for f in [*features, y]:
-        by_value = rows.groupBy(F.col(f).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")).withColumn("feature", F.lit(f))
-        parts.append(by_value)
-    values = parts[0]
-    for p in parts[1:]:
-        values = values.unionByName(p)
-    before = F.sum("n").over(W.partitionBy("feature").orderBy("v").rowsBetween(W.unboundedPreceding, -1))
-    ranks = values.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2)
-    out = rows.select(*(F.col(c).cast("double").alias(c) for c in [*features, y]))
-    for f in [*features, y]:
-        one = ranks.where(F.col("feature") == f).select(F.col("v").alias(f), F.col("rank").alias(f"_r_{f}"))
-        out = out.join(one, f)
-    ranked = out.select(*(F.col(f"_r_{f}").alias(f) for f in [*features, y]))
-    return correlations(ranked, features, y).withColumnRenamed("pearson", "spearman")
+    """(feature, spearman): Pearson of average ranks; 0 where one is constant.
+
+    Rows are counted by value and y before anything is shuffled; ranks come from the
+    counts, and the correlation is a sum over the counted cells. No row is joined.
+    """
+    number = F.col(y).cast("double")
+    cells = rows.select(number.alias("y"), F.explode(F.array(*(F.struct(F.lit(f).alias("name"), F.col(f).cast("double").alias("v")) for f in features))).alias("x"))
+    cells = cells.select("y", "x.*").where("v is not null and y is not null").groupBy("name", "v", "y").agg(F.count(F.lit(1)).alias("n"))
+    of_x = average_ranks(cells.groupBy("name", "v").agg(F.sum("n").alias("n"))).select("name", "v", F.col("rank").alias("rx"))
+    of_y = average_ranks(cells.groupBy("name", F.col("y").alias("v")).agg(F.sum("n").alias("n"))).select("name", F.col("v").alias("y"), F.col("rank").alias("ry"))
+    middle = cells.groupBy("name").agg(((F.sum("n") + 1) / 2).alias("middle"))
+    d = cells.join(of_x, ["name", "v"]).join(of_y, ["name", "y"]).join(F.broadcast(middle), "name")
+    dx, dy, n = F.col("rx") - F.col("middle"), F.col("ry") - F.col("middle"), F.col("n")
+    sums = d.groupBy("name").agg(F.sum(n * dx * dy).alias("xy"), F.sum(n * dx * dx).alias("xx"), F.sum(n * dy * dy).alias("yy"))
+    spread = F.sqrt(F.col("xx") * F.col("yy"))
+    return sums.select(F.col("name").alias("feature"), F.round(F.when(spread > 0, F.col("xy") / F.when(spread > 0, spread)).otherwise(0.0), 6).alias("spearman"))
 
 
 def worst(d: DataFrame, n: int = 500) -> DataFrame:
@@ -102,21 +104,28 @@ def error_report(pairs: DataFrame, by: str | None = None) -> DataFrame:
         "mean_p": F.round(F.avg("p"), 6),
         "std_p": F.round(F.stddev_samp("p"), 6),
         "mean_true": F.round(F.avg(F.when(true, p)), 6),
-        "median_true": F.round(F.median(F.when(true, p)), 6),
         "mean_false": F.round(F.avg(F.when(~true, p)), 6),
-        "median_false": F.round(F.median(F.when(~true, p)), 6),
         "false_negatives": F.count_if(true & (p < 0.5)),
         "false_positives": F.count_if(~true & (p >= 0.5)),
         "uncertain": F.count_if((p >= 0.3) & (p <= 0.7)),
         "uncertain_true": F.count_if(true & (p >= 0.3) & (p <= 0.7)),
     }
-    rows = pairs.groupBy(by) if by else pairs.groupBy()
-    return rows.agg(*(c.alias(n) for n, c in measures.items()))
+    keys = [by] if by else []
+    out = pairs.groupBy(*keys).agg(*(c.alias(n) for n, c in measures.items()))
+    for name, which in (("true", true), ("false", ~true)):
+        medians = grid_median(pairs.where(which), p, keys).withColumn("median", F.round("median", 6)).withColumnRenamed("median", f"median_{name}")
+        on = F.col(f"x.{by}").eqNullSafe(F.col(f"y.{by}")) if by else F.lit(True)
+        out = out.alias("x").join(F.broadcast(medians.alias("y")), on, "left").select("x.*", f"y.median_{name}")
+    return out
 
 
 def score_quantiles(scores: DataFrame, by: str) -> DataFrame:
     """By segment: records, mean, lowest tenth and quarter of the score."""
-    return scores.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f05"), 6).alias("mean_f05"), F.round(F.percentile("f05", 0.1), 6).alias("q10"), F.round(F.percentile("f05", 0.25), 6).alias("q25"))
+    # a score comes from three small counts, so a segment has few different ones
+    counts = scores.groupBy(by, "f05").agg(F.count(F.lit(1)).alias("k"))
+    mean = F.sum(F.col("f05") * F.col("k")) / F.sum("k")
+    quantile = lambda q: F.round(F.percentile("f05", q, F.col("k")), 6)
+    return counts.groupBy(by).agg(F.sum("k").alias("n"), F.round(mean, 6).alias("mean_f05"), quantile(0.1).alias("q10"), quantile(0.25).alias("q25"))
 
 
 def log_loss(rows: DataFrame, p: str = "p", y: str = "y", least: float = 1e-15) -> DataFrame:

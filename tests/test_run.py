@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coalign.operators import decide, mine, model
+from coalign.operators import decide, mine, model, ranks, report
 from coalign.plans import linkage
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -79,9 +79,9 @@ def test_grid_median(spark):
     for n in (1, 2, 7, 500, 1001):
         values = [(k, float(v)) for k, vs in (("a", rnd.normal(size=n)), (None, rnd.integers(0, 3, n)), ("same", np.full(n, 2.5))) for v in vs]
         rows = spark.createDataFrame([*values, ("a", None)], "g string, v double")
-        got = {r.g: r.median for r in mine.grid_median(rows, F.col("v"), ["g"], steps=8).collect()}
+        got = {r.g: r.median for r in ranks.grid_median(rows, F.col("v"), ["g"], steps=8).collect()}
         assert got == {k: pytest.approx(float(np.median([v for x, v in values if x == k]))) for k in ("a", None, "same")}
-        whole = mine.grid_median(rows, F.col("v"), steps=8).first()
+        whole = ranks.grid_median(rows, F.col("v"), steps=8).first()
         assert whole.median == pytest.approx(float(np.median([v for _, v in values])))
 
 
@@ -91,3 +91,20 @@ def test_generic_rates_of_a_country_that_training_has_not(spark):
     mined = spark.createDataFrame([("x", 0.4), ("w", 0.1)], "t string, rate double")
     got = {(r.country, r.t): r.rate for r in mine.generic_rates(mined, known, a.unionByName(known), b).collect()}
     assert got[("IN", "x")] == 0.4 and got[("FR", "x")] == 0.4 and got[("IN", "w")] == 0.1 and got[("FR", "w")] > 0.5
+
+
+def test_rank_correlations(spark):
+    rnd = np.random.default_rng(4)
+    y = rnd.integers(0, 2, 700)
+    columns = {"x": rnd.normal(size=700) + y, "ties": rnd.integers(0, 4, 700) * 1.0, "zero": np.where(rnd.random(700) < 0.9, 0.0, 1e6), "same": np.full(700, 3.0)}
+    rows = spark.createDataFrame([(*map(float, r),) for r in zip(y, *columns.values())], "y double, x double, ties double, zero double, same double")
+
+    def rank(v):
+        order = np.argsort(v, kind="stable")
+        out = np.empty(len(v))
+        out[order] = np.arange(1, len(v) + 1)
+        return np.array([out[v == x].mean() for x in v])
+
+    want = {k: 0.0 if k == "same" else float(np.corrcoef(rank(v), rank(y))[0, 1]) for k, v in columns.items()}
+    got = {r.feature: r.spearman for r in report.rank_correlations(rows, list(columns)).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
