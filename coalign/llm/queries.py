@@ -150,5 +150,45 @@ FROM docs d LEFT JOIN kept k USING (doc_id)
 """
 
 
+#: Lines, those equal to an earlier one, and of the others with ten words at least those of which a variant without one word shows an earlier one that is near.
+SQL_OP10 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS no FROM docs),
+worded AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM line),
+ranked AS (SELECT *, array_to_string(words, ' ') AS key, rank() OVER (ORDER BY doc_id NULLS LAST, no) AS pos FROM worded WHERE len(words) > 0),
+first AS (SELECT key, any_value(words) AS words, min(pos) AS pos FROM ranked GROUP BY key),
+place AS (
+  SELECT key, pos, 0 AS p, md5(key) AS v FROM first WHERE len(words) >= 10
+  UNION ALL
+  SELECT key, pos, i AS p, md5(array_to_string(list_concat(words[:i - 1], words[i + 1:]), ' ')) FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM first WHERE len(words) >= 10)),
+seen AS (
+  SELECT *, min(pos) FILTER (p = 0) OVER of_v AS itself, min(pos) FILTER (p > 0) OVER of_v AS less, min(pos) OVER (PARTITION BY v, p) AS alike
+  FROM place WINDOW of_v AS (PARTITION BY v)),
+near AS (SELECT DISTINCT key FROM seen WHERE CASE WHEN p = 0 THEN less < pos ELSE least(coalesce(itself, pos), alike) < pos END),
+judged AS (SELECT w.r, w.no, coalesce(w.pos > f.pos OR f.key IN (SELECT key FROM near), false) AS gone FROM ranked w JOIN first f USING (key)),
+kept AS (
+  SELECT l.r, count(j.r) AS n_lines, count(*) FILTER (j.gone) AS n_removed, string_agg(l.line, chr(10) ORDER BY l.no) FILTER (NOT coalesce(j.gone, false)) AS text
+  FROM line l LEFT JOIN judged j USING (r, no) GROUP BY l.r)
+SELECT doc_id, n_lines, n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs JOIN kept USING (r)
+"""
+
+#: Bytes as pairs of hexadecimal digits, strings of 50 by the bytes that follow, and the bytes covered by a string that a smaller document has.
+SQL_OP4 = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
+byte AS (SELECT doc_id, unnest(bytes) AS b, unnest(range(len(bytes))) AS i FROM docs),
+strings AS (
+  SELECT doc_id, i, string_agg(b, '') OVER following AS key, count(*) OVER following AS n FROM byte
+  WINDOW following AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+judged AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY key) < doc_id AS hit FROM strings WHERE n = 50),
+covered AS (
+  SELECT b.doc_id, b.i, b.b, coalesce(bool_or(j.hit) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM byte b LEFT JOIN judged j USING (doc_id, i)),
+edged AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS edge FROM covered),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (edge) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS left_over FROM edged GROUP BY doc_id)
+SELECT d.doc_id, len(d.bytes)::BIGINT AS n_bytes, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.left_over, ''))) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_tree_dedup": SQL_OP1, "op2_arc_to_warc": SQL_OP2, "op6_exact_dedup": SQL_OP6, "op7_mix_sources": SQL_OP7}
+    return {"op1_suffix_tree_dedup": SQL_OP1, "op2_arc_to_warc": SQL_OP2, "op4_suffix_array_dedup": SQL_OP4, "op6_exact_dedup": SQL_OP6, "op7_mix_sources": SQL_OP7, "op10_line_dedup": SQL_OP10}
