@@ -37,6 +37,8 @@ BLOB = "part int, chunk long, kind int, body binary"
 _BLOB_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
 _BLOCK = 1 << 16
 _LOW = np.uint64((1 << 20) - 1)
+#: An anchor that occurs more often than this is hot: its suffixes are split by what stands around it.
+HOT = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,11 @@ class Scheme:
         """Positions of a window at which its anchor can be; offsets go from 0 to one less."""
         return self.length - self.k + 1
 
+    @property
+    def reach(self) -> int:
+        """Units that windows of the first half of the offsets have right of the anchor's own; those of the others have ``span - reach`` left of it."""
+        return self.span // 2
+
     @property
     def kind(self) -> type:
         return np.uint64 if self.unit == "word" else np.uint8
@@ -156,13 +163,13 @@ def _short(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> np.uint64(32)) % np.uint64(parts) << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
 
 
-def _distinct(short: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct values in order, whether two documents have it)."""
+def _distinct(short: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in order, whether two documents have it, how often it occurs); documents come in order."""
     order = np.argsort(short, kind="stable")
     s, d = short[order], doc[order]
     begin = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-    last = np.append(begin[1:], len(s)) - 1 if len(s) else begin
-    return s[begin], d[begin] != d[last]
+    times = np.diff(np.append(begin, len(s)))
+    return s[begin], d[begin] != d[begin + times - 1], times
 
 
 def _slices(short: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -174,33 +181,39 @@ def _slices(short: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def repeated(chunks: DataFrame, scheme: Scheme, parts: int) -> DataFrame:
-    """By part and chunk, a bit for each distinct short hash of the chunk in order: do two documents have it?"""
+    """By part and chunk: a bit for each distinct short hash of the chunk in order, set if two documents have it, and which of them are hot."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body"), strict=True):
                 _, raw, offsets, _, _ = unpack(body.as_buffer())
                 found = anchors(scheme, *units_of(scheme, raw, offsets))
-                short, twice = _distinct(_short(found.key, parts), found.doc)
-                yield _blobs([(p, chunk, 0, (short[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + np.packbits(twice[s:e]).tobytes() + (e - s).to_bytes(4, "little")) for p, s, e in _slices(short)])
+                short, twice, times = _distinct(_short(found.key, parts), found.doc)
+                rows = []
+                for p, s, e in _slices(short):
+                    more = np.flatnonzero(times[s:e] > 1)
+                    rows.append((p, chunk, 0, _zip((short[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.packbits(twice[s:e]), more.astype(np.uint32), times[s:e][more].astype(np.uint32))))
+                yield _blobs(rows)
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bodies = table["body"].to_pylist()
-        sizes = [int.from_bytes(b[-4:], "little") for b in bodies]
-        low = np.concatenate([np.frombuffer(b, np.uint32, n) for b, n in zip(bodies, sizes, strict=True)])
-        twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, len(b) - 4 * n - 4, 4 * n), count=n) for b, n in zip(bodies, sizes, strict=True)]).astype(bool)
-        order = np.argsort(low, kind="stable")
-        s = low[order]
-        same = np.empty(len(s) + 1, bool)
-        same[0] = same[-1] = False
-        same[1:-1] = s[1:] == s[:-1]
-        many = same[1:] | same[:-1]
-        # a hash that is twice in one chunk only stands alone here
-        flag = np.empty(len(s), bool)
-        flag[order] = many
-        flag |= twice
+        got = [_unzip(b) for b in table["body"].to_pylist()]
+        sizes = [len(g[0]) for g in got]
         bounds = np.cumsum([0, *sizes])
-        return pa.Table.from_batches([_blobs([(p, c, 0, np.packbits(flag[s:e]).tobytes()) for p, c, s, e in zip(table["part"].to_pylist(), table["chunk"].to_pylist(), bounds, bounds[1:], strict=False)])])
+        low = np.concatenate([g[0] for g in got])
+        # a hash that is twice in one chunk only stands alone here
+        flag = np.concatenate([np.unpackbits(g[1], count=n) for g, n in zip(got, sizes, strict=True)]).astype(bool)
+        times = np.ones(len(low), np.int64)
+        for g, at in zip(got, bounds.tolist(), strict=False):
+            times[at + g[2]] = g[3]
+        order = np.argsort(low)
+        s = low[order]
+        begin = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
+        of = np.cumsum(np.append(True, s[1:] != s[:-1])[: len(s)]) - 1
+        many = np.diff(np.append(begin, len(s))) > 1
+        flag[order] |= many[of]
+        hot = np.zeros(len(low), bool)
+        hot[order] = (np.add.reduceat(times[order], begin) > HOT)[of] if len(s) else False
+        return pa.Table.from_batches([_blobs([(p, c, 0, _zip(np.packbits(flag[x:y]), np.flatnonzero(hot[x:y]).astype(np.uint32))) for p, c, x, y in zip(table["part"].to_pylist(), table["chunk"].to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False)])])
 
     return chunks.mapInArrow(send, BLOB).groupBy("part").applyInArrow(compare, BLOB)
 
@@ -245,18 +258,38 @@ class Candidates:
 
     anchors: Anchors
     which: np.ndarray  # the distinct suffix of each candidate
+    again: np.ndarray  # the candidates that are sent to a second part, by what stands left of them
+    which_again: np.ndarray
     part: np.ndarray
     distinct: Suffixes
 
 
+def _hash_of(units: np.ndarray) -> np.ndarray:
+    h = np.full(len(units), units.shape[1], np.uint64)
+    for i in range(units.shape[1]):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + units[:, i].astype(np.uint64))
+    return h
+
+
 def candidates(scheme: Scheme, units: np.ndarray, offsets: np.ndarray, keys: np.ndarray, bits: dict[int, bytes], parts: int, route: Callable | None) -> Candidates:
+    """The anchors of a chunk that two documents have, and to which parts their suffixes go.
+
+    A hot anchor would bring all its contexts to one part. Windows that share it share
+    either ``reach`` units more right of it or the units left of it that are left to
+    reach; so its suffixes go to two parts, by a hash of either, and are covered where
+    either says so.
+    """
     found = anchors(scheme, units, offsets)
     short = _short(found.key, parts)
-    distinct, _ = _distinct(short, found.doc)
-    flag = np.zeros(len(distinct), bool)
+    distinct, _, _ = _distinct(short, found.doc)
+    flag, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
     for p, s, e in _slices(distinct):
-        flag[s:e] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=e - s).astype(bool)
-    keep = flag[np.searchsorted(distinct, short)] if len(short) else np.zeros(0, bool)
+        own, often = _unzip(bits[p])
+        flag[s:e] = np.unpackbits(own, count=e - s).astype(bool)
+        hot[s + often] = True
+    at = np.searchsorted(distinct, short)
+    keep = flag[at] if len(short) else np.zeros(0, bool)
+    hot = hot[at[keep]]
     found = Anchors(found.at[keep], found.first[keep], found.last[keep], found.key[keep], found.doc[keep])
     n_left, n_right = found.at - found.first, found.last + scheme.length - found.at
     padded = np.concatenate((np.zeros(scheme.span, units.dtype), units, np.zeros(scheme.length, units.dtype)))
@@ -265,9 +298,16 @@ def candidates(scheme: Scheme, units: np.ndarray, offsets: np.ndarray, keys: np.
     right[np.arange(scheme.length) >= n_right[:, None]] = 0
     left = padded[at[:, None] - 1 - np.arange(max(scheme.span - 1, 1))]
     left[np.arange(left.shape[1]) >= n_left[:, None]] = 0
-    part = (found.key >> np.uint64(32)) % np.uint64(parts) if route is None else route(right)
-    part = part.astype(np.int64)
-    whole = Suffixes(right, left, n_right, n_left, keys[found.doc])
+    part = ((found.key >> np.uint64(32)) % np.uint64(parts) if route is None else route(right)).astype(np.int64)
+    wide, deep = scheme.k + scheme.reach, scheme.span - scheme.reach
+    by_right, by_left = hot & (n_right >= wide), hot & (n_left >= deep)
+    part[by_right] = _hash_of(right[by_right, :wide]) % np.uint64(parts)
+    part_left = (_hash_of(np.concatenate((right[by_left, : scheme.k], left[by_left, :deep]), axis=1)) % np.uint64(parts)).astype(np.int64)
+    part[by_left & ~by_right] = part_left[~by_right[by_left]]
+    again = np.flatnonzero(by_left & by_right)
+    rows = np.append(np.arange(len(part)), again)
+    part = np.append(part, part_left[by_right[by_left]])
+    whole = Suffixes(right[rows], left[rows], n_right[rows], n_left[rows], keys[found.doc[rows]])
     columns = [whole.key, *_columns(whole), part]
     order = np.lexsort(columns)
     new = np.zeros(len(order), bool)
@@ -279,7 +319,9 @@ def candidates(scheme: Scheme, units: np.ndarray, offsets: np.ndarray, keys: np.
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
     first = order[new]  # of equal ones that of the smallest document
-    return Candidates(found, which, part[first], Suffixes(right[first], left[first], n_right[first], n_left[first], whole.key[first]))
+    sent = Suffixes(whole.right[first], whole.left[first], whole.n_right[first], whole.n_left[first], whole.key[first])
+    n = len(found.at)
+    return Candidates(found, which[:n], again, which[n:], part[first], sent)
 
 
 def encode_run(s: Suffixes, lo: int, hi: int) -> bytes:
@@ -389,6 +431,7 @@ def removed_units(scheme: Scheme, c: Candidates, masks: dict[int, bytes], keys:
     mask = np.concatenate([_unzip(masks[p])[0] for p in np.unique(c.part).tolist()]) if len(c.part) else np.zeros(0, np.uint64)
     found = c.anchors
     own = mask[c.which]
+    own[c.again] |= mask[c.which_again]
     # the same suffix is in a smaller document of this chunk: all its windows are covered
     own = np.where(keys[found.doc] > c.distinct.key[c.which], np.uint64(2**64 - 1), own)
     steps = np.zeros(n + scheme.length + 1, np.int64)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchored import Scheme, Suffixes, anchors, drop_repeats, shared, units_of
-from .common import mix, unpack, word_bounds
+from .common import cut, mix, unpack, word_bounds
 
 RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
@@ -34,14 +34,19 @@ def prefix_hash(right: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def heavy_prefixes(chunks: DataFrame, scheme: Scheme, limit: int) -> list[np.ndarray]:
+#: About as many prefixes of a length as a chunk names, and as many heavy ones as are told apart.
+NAMED, MOST_HEAVY = 4096, 2000
+
+
+def heavy_prefixes(chunks: DataFrame, scheme: Scheme, limit: int) -> list[np.ndarray] | None:
     """By number of words less than k, the hashes of prefixes with over ``limit`` suffixes, sorted.
 
-    A chunk names a prefix only if it has its share of the limit there, so a prefix
-    that isn't found has less than twice the limit. At most suffixes / limit prefixes
-    of a length come to the driver.
+    A chunk names a prefix only if it has its share of the limit there, and no more
+    than ``NAMED`` of a length; so a prefix that isn't found has less than twice the
+    limit, and at most ``MOST_HEAVY`` of a length come to the driver. None for a corpus
+    that can have more: there every prefix counts as heavy.
     """
-    least = max(1, limit // max(chunks.count(), 1))
+    share = limit // max(chunks.count(), 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,13 +54,18 @@ def heavy_prefixes(chunks: DataFrame, scheme: Scheme, limit: int) -> list[np.nda
                 _, raw, offsets, _, _ = unpack(body.as_buffer())
                 units, first = units_of(scheme, raw, offsets)
                 at = anchors(scheme, units, first).at
-                out: list[tuple[int, int, int]] = []
+                out = [(0, 0, len(at))]
                 for n in range(1, scheme.k):
                     value, times = np.unique(prefix_hash(units[at[:, None] + np.arange(n)], n), return_counts=True)
-                    out += [(n, h, c) for h, c in zip(value[times >= least].view(np.int64).tolist(), times[times >= least].tolist(), strict=True)]
+                    often = times >= max(1, share, len(at) // NAMED)
+                    out += [(n, h, c) for h, c in zip(value[often].view(np.int64).tolist(), times[often].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["n", "prefix", "times"])
 
-    rows = chunks.mapInArrow(count, "n int, prefix long, times long").groupBy("n", "prefix").agg(F.sum("times").alias("times")).where(F.col("times") > limit).collect()
+    counted = cut(chunks.mapInArrow(count, "n int, prefix long, times long").groupBy("n", "prefix").agg(F.sum("times").alias("times")))
+    total = counted.where("n = 0").agg(F.sum("times")).first()[0] or 0
+    if total > MOST_HEAVY * limit:
+        return None
+    rows = counted.where((F.col("n") > 0) & (F.col("times") > limit)).collect()
     return [np.sort(np.array([r["prefix"] for r in rows if r["n"] == n], np.int64).view(np.uint64)) for n in range(1, scheme.k)]
 
 
@@ -64,6 +74,8 @@ def router(scheme: Scheme, limit: int):
         heavy = heavy_prefixes(chunks, scheme, limit)
 
         def route(right: np.ndarray) -> np.ndarray:
+            if heavy is None:
+                return mix(prefix_hash(right, scheme.k)) % np.uint64(parts)
             prefix = prefix_hash(right, 1)
             open_ = np.ones(len(right), bool)  # the prefix so far is heavy
             for n in range(1, scheme.k):

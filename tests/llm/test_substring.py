@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from coalign.llm import suffix_array_dedup as sa
@@ -49,6 +50,38 @@ def test_bytes(spark, seed, chunk):
         assert left == bytes(r.kept)
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_hot_anchors(spark, monkeypatch, hot):
+    """Anchors that are split by what stands around them, and a corpus with too many heavy prefixes to tell apart."""
+    from coalign.llm import anchored
+
+    monkeypatch.setattr(anchored, "HOT", hot)
+    monkeypatch.setattr(st, "MOST_HEAVY", 0 if hot else 2000)
+    rnd = random.Random(hot)
+    phrase = "the one phrase of all "
+    texts = corpus(7) | {1000 + i: " ".join(rnd.choices("abcdefgh", k=rnd.randint(0, 9))) + " " + phrase * rnd.randint(1, 2) + " ".join(rnd.choices(["a", "bb", "ccc"], k=rnd.randint(0, 12))) for i in range(80)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in st.drop_repeated_words(docs, chunk_bytes=3000, part_bytes=2000, tree_limit=20).collect()}
+    assert got == st.brute_force(texts)
+    rows = sa.drop_repeated_bytes(docs, chunk_bytes=3000, part_bytes=2000).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in rows} == sa.brute_force(texts)
+
+
+def test_hot_anchor_spreads():
+    """One anchor in many contexts goes to many parts, and equal windows still meet."""
+    from coalign.llm import anchored
+
+    scheme, parts, n = anchored.Scheme("byte", 50, 20, 1, 1), 50, 2000
+    rnd = random.Random(1)
+    body = [bytes(rnd.choices(range(97, 123), k=40)) + b"~" * 5 + b"AN ANCHOR OF 20 BYTES" + b"~" * 5 + bytes(rnd.choices(range(97, 123), k=40)) for _ in range(n)]
+    raw, offsets = np.frombuffer(b"".join(body), np.uint8), np.cumsum([0, *map(len, body)])
+    found = anchored.anchors(scheme, raw, offsets)
+    short, _, times = anchored._distinct(anchored._short(found.key, parts), found.doc)
+    bits = {p: anchored._zip(np.packbits(times[s:e] > 100), np.flatnonzero(times[s:e] > 100).astype(np.uint32)) for p, s, e in anchored._slices(short)}
+    c = anchored.candidates(scheme, raw, offsets, np.arange(n), bits, parts, None)
+    assert len(c.which) > 0.8 * n and np.bincount(c.part, minlength=parts).max() < 4 * len(c.part) / parts
+
+
 def test_empty_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert st.drop_repeated_words(empty).count() == 0
