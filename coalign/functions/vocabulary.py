@@ -34,45 +34,34 @@ LEGAL_FORMS = {
 }
 
 # Tokens that are a legal form.
-LEGAL_TOKENS = (
-    "private limited incorporated corporation company llc pllc llp plc lp pc opc huf public "
-    "societe sarl sas sasu sa sci eurl snc scp scop sca selarl gie ei"
-).split()
+LEGAL_TOKENS = [
+    "private", "limited", "incorporated", "corporation", "company", "llc", "pllc", "llp", "plc", "lp", "pc", "opc", "huf", "public",
+    "societe", "sarl", "sas", "sasu", "sa", "sci", "eurl", "snc", "scp", "scop", "sca", "selarl", "gie", "ei",
+]
 
 # Connecting words of names, and titles at their start.
-NAME_STOP_WORDS = "and the of & de du des la le les et d l".split()
-TITLES = "m s ms mr mrs sri shri shree smt dr".split()
+NAME_STOP_WORDS = ["and", "the", "of", "&", "de", "du", "des", "la", "le", "les", "et", "d", "l"]
+TITLES = ["m", "s", "ms", "mr", "mrs", "sri", "shri", "shree", "smt", "dr"]
 
 # Street and place words, token to abbreviation (empty: dropped).
 STREET_WORDS = {
-    "street": "st", "str": "st", "saint": "st",
-    "road": "rd",
-    "avenue": "ave", "av": "ave",
-    "drive": "dr", "lane": "ln", "court": "ct",
-    "boulevard": "blvd", "bd": "blvd", "blv": "blvd",
-    "highway": "hwy", "place": "pl", "circle": "cir", "parkway": "pkwy", "terrace": "ter", "square": "sq", "trail": "trl",
-    "suite": "ste", "sainte": "ste",
-    "apartment": "apt", "apartments": "apt", "appartment": "apt", "appartments": "apt",
-    "north": "n", "south": "s", "east": "e", "west": "w",
-    "mount": "mt", "fort": "ft", "center": "ctr", "centre": "ctr", "expressway": "expy", "freeway": "fwy",
-    "near": "nr", "opposite": "opp", "oppo": "opp", "floor": "flr",
-    "building": "bldg", "bldng": "bldg",
-    "society": "soc", "sector": "sec", "nagar": "ngr", "colony": "col",
-    "district": "dist", "dt": "dist",
-    "taluk": "tq", "taluka": "tq", "tehsil": "teh",
-    "village": "vill", "vil": "vill",
-    "post": "po", "cross": "crs", "cours": "crs",
-    "industrial": "indl", "ind": "indl",
-    "estate": "est", "complex": "cmplx",
-    "r": "rue", "chemin": "ch", "impasse": "imp", "allee": "all", "route": "rte", "faubourg": "fg", "quai": "qu", "residence": "res",
-    "cedex": "", "bis": "", "ter": "",
+    # English
+    "street": "st", "str": "st", "saint": "st", "road": "rd", "avenue": "ave", "av": "ave", "drive": "dr", "lane": "ln", "court": "ct", "boulevard": "blvd", "bd": "blvd", "blv": "blvd",
+    "highway": "hwy", "place": "pl", "circle": "cir", "parkway": "pkwy", "terrace": "ter", "square": "sq", "trail": "trl", "suite": "ste", "apartment": "apt",
+    "north": "n", "south": "s", "east": "e", "west": "w", "mount": "mt", "fort": "ft", "center": "ctr", "centre": "ctr", "expressway": "expy", "freeway": "fwy",
+    # India
+    "near": "nr", "opposite": "opp", "oppo": "opp", "floor": "flr", "building": "bldg", "bldng": "bldg", "society": "soc", "sector": "sec", "nagar": "ngr", "colony": "col",
+    "district": "dist", "dt": "dist", "taluk": "tq", "taluka": "tq", "tehsil": "teh", "village": "vill", "vil": "vill", "post": "po", "cross": "crs", "industrial": "indl", "ind": "indl",
+    "estate": "est", "complex": "cmplx", "apartments": "apt", "appartment": "apt", "appartments": "apt",
+    # France
+    "r": "rue", "chemin": "ch", "impasse": "imp", "allee": "all", "route": "rte", "faubourg": "fg", "sainte": "ste", "cedex": "", "bis": "", "ter": "", "quai": "qu", "cours": "crs", "residence": "res",
 }
 
 # Address words without identity.
-ADDRESS_STOP_WORDS = (
-    "no nos number num h hno house door dno plot flat shop unit the of and de du des la le les d l c o "
-    "po box region suburban dcp null na nil none at via"
-).split()
+ADDRESS_STOP_WORDS = [
+    "no", "nos", "number", "num", "h", "hno", "house", "door", "dno", "plot", "flat", "shop", "unit", "the", "of", "and", "de", "du", "des", "la", "le", "les", "d", "l", "c", "o",
+    "po", "box", "region", "suburban", "dcp", "null", "na", "nil", "none", "at", "via",
+]
 
 # Patterns of names, in the order in which they are applied; pattern, replacement, every match or the first.
 NATIVE_SCRIPT = "[\\u0900-\\u0DFF]"
@@ -89,10 +78,12 @@ NAME_RULES = [
     ("N10", r"\bl\s*\.?\s*l\s*\.?\s*p\b\.?", " llp "),
     ("N10", r"\bp\s*\.\s*c\b\.?", " pc "),
 ]
+# Fixed value: what stands between a name and the one it also trades under.
 OTHER_NAME = (
     r"^(.*?)\s+(?:d\s*[./]?\s*b\s*[./]?\s*a|a\s*[./]?\s*k\s*[./]?\s*a|f\s*[./]?\s*k\s*[./]?\s*a|t\s*/\s*a"
     r"|trading as|doing business as|formerly known as|formerly|nee)\b\s*[.:]?\s*(.+)$"
 )
+# Ordinals, digits that stand for letters and the letters, null markers of addresses.
 ORDINAL = "^[0-9]+(st|nd|rd|th)$"
 DIGIT_LOOKS = ("013458", "oleasb")
 NULL_ADDRESS = r"<\s*null\s*>|\bnull\b|\bn\s*/\s*a\b|\bnot available\b"

@@ -159,7 +159,20 @@ def m01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), names.skeleton(F.col("p_type")).alias("skeleton"))
 
 
-@query("M02_skeleton_text")
+def _skeleton_text_sql(tokens: str) -> str:
+    from coalign.functions.vocabulary import SKELETON_RULES
+
+    sounds = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in SKELETON_RULES) + "}"
+    parts = "|".join(sorted((a for a, _ in SKELETON_RULES), key=len, reverse=True))
+    token = f"array_to_string(list_transform(regexp_extract_all(t, '{parts}|.'), lambda p: coalesce({sounds}[p], p)), '')"
+    short = f"list_transform(list_transform({tokens}, lambda t: {token}), lambda t: substring(t, 1, 1) || regexp_replace(substring(t, 2), '[aeiouh]', '', 'g'))"
+    out = f"array_to_string({short}, ' ')"
+    for c in "bdfgjklnprstv":
+        out = f"regexp_replace({out}, '{c}+', '{c}', 'g')"
+    return out
+
+
+@query("M02_skeleton_text", f"WITH {REGISTERS} SELECT id, {_skeleton_text_sql('core_tok')} AS skel FROM rec_a")
 def m02(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, _, _ = registers(spark, sf_dir)
     return a.select("id", names.skeleton_text(F.col("core_tok")).alias("skel"))
@@ -870,7 +883,18 @@ def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.worst(_audited(spark, sf_dir)[1]).select("a", _r("f05"), "ntrue", "npred")
 
 
-@query("R03_worst_pairs")
+_WORST_PAIRS = f"""WITH {RANKED},
+pr AS (SELECT a, b, least(cheap / 2, 1.0) AS p FROM ranked),
+one AS (SELECT *, max(p) OVER (PARTITION BY a) AS m FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY p DESC, a) AS n FROM pr) WHERE n = 1),
+hit AS (SELECT o.a, count(*) AS npred, count(t.a) AS tp FROM one o LEFT JOIN truth t USING (a, b) WHERE p >= 0.3 AND p >= 0.6 * m AND m >= 0.4 GROUP BY o.a),
+sc AS (SELECT x.id AS a, coalesce(n, 0) AS ntrue, coalesce(npred, 0) AS npred,
+         CASE WHEN coalesce(n, 0) = 0 THEN (coalesce(npred, 0) = 0)::INT::DOUBLE ELSE 1.25 * coalesce(tp, 0) / (0.25 * n + coalesce(npred, 0)) END AS f05
+       FROM rec_a x LEFT JOIN (SELECT a, count(*) AS n FROM truth GROUP BY a) t ON t.a = x.id LEFT JOIN hit h ON h.a = x.id WHERE x.id IN (SELECT a FROM pr)),
+bad AS (SELECT a FROM sc ORDER BY f05, ntrue DESC, npred DESC, a LIMIT 500)
+SELECT a, b, round(p, 6) AS p, y.name_norm AS b_name, y.addr AS b_addr, ((a, b) IN (SELECT (a, b) FROM truth))::INT AS is_true FROM pr JOIN bad USING (a) JOIN rec_b y ON y.id = pr.b"""
+
+
+@query("R03_worst_pairs", _WORST_PAIRS)
 def r03_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b, truth = registers(spark, sf_dir)
     pairs = candidates(spark, sf_dir).select("a", "b", F.least(F.col("cheap") / 2, F.lit(1.0)).alias("p"))
@@ -878,7 +902,7 @@ def r03_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_a = a.select(F.col("id").alias("a")).join(truth.groupBy("a").agg(F.count(F.lit(1)).alias("ntrue")), "a", "left")
     # records without a candidate have no pair to show
     scores = decide.per_a_scores(chosen, all_a).join(pairs.select("a").distinct(), "a", "left_semi")
-    return report.worst_pairs(pairs, report.worst(scores), truth, b)
+    return report.worst_pairs(pairs, report.worst(scores), truth, b).select("a", "b", _r("p"), "b_name", "b_addr", "is_true")
 
 
 _ERRORS = f"""WITH {SCORED}
