@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, chunked, cut, cut_buckets, mix, powers, unpack, word_bounds, word_hashes
+from .common import _BYTE, chunked, cut, cut_buckets, mix, powers, tidy, unpack, word_bounds, word_hashes
 
 BLOB = "part int, chunk long, kind int, body binary"
 _BLOB_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
@@ -457,7 +457,10 @@ def drop_repeats(docs: DataFrame, scheme: Scheme, order: Callable, write: Callab
         keys, raw, offsets, has_id, _ = unpack(body)
         units, first = units_of(scheme, raw, offsets)
         c = candidates(scheme, units, first, keys, back[0], parts, route)
-        return write(raw, offsets, units, first, removed_units(scheme, c, back[1], keys, len(units)), keys, has_id)
+        gone = removed_units(scheme, c, back[1], keys, len(units))
+        del c
+        tidy()
+        return write(raw, offsets, units, first, gone, keys, has_id)
 
     back = bits.unionByName(masks)
     return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(finish, schema)

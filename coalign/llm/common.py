@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,24 @@ def power_of_two(n: float, least: int = 1) -> int:
     return m
 
 
+def tidy() -> None:
+    """Gives what a task has freed back to the system: Python workers live on, and what they keep is missing to later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that leaves its worker as small as it can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        tidy()
+
+    return run
+
+
 # Chunks: one row holds many whole documents. The chunk table is written once, so
 # the number of a document in its chunk names the document in all later steps.
 

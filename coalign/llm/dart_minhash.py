@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_key, mix, word_bounds, word_hashes
+from .common import cut, doc_key, lean, mix, word_bounds, word_hashes
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -185,7 +185,7 @@ def signed(docs: DataFrame, p: NearDuplicates, id_col: str, text_col: str) -> Da
                 columns = [*(c.slice(at, to - at) for c in batch.columns[:3]), pa.array(same.view(np.int64), mask=total == 0), pa.array(total), bands, pa.array(low, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in NODES.split(", ")])
 
-    return _blocks(docs, id_col, text_col).mapInArrow(sign, NODES)
+    return _blocks(docs, id_col, text_col).mapInArrow(lean(sign), NODES)
 
 
 def cells(docs: DataFrame, p: NearDuplicates, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def cells(docs: DataFrame, p: NearDuplicates, id_col: str, text_col: str, wanted
                 blobs = [data[s:e] for s, e in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(same.view(np.int64)), pa.array(blobs, pa.binary())], names=["node", "cells"])
 
-    rows = _blocks(docs, id_col, text_col).join(wanted.select("key").distinct(), "key", "left_semi").select("text").mapInArrow(make, "node long, cells binary")
+    rows = _blocks(docs, id_col, text_col).join(wanted.select("key").distinct(), "key", "left_semi").select("text").mapInArrow(lean(make), "node long, cells binary")
     # rows that share an id may have other texts, and repeated rows the same one
     return rows.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
@@ -220,7 +220,7 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["a", "b", "distance"])
 
     a, b = (sets.select(F.col("node").alias(n), F.col("cells").alias(f"cells_{n}")) for n in "ab")
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "cells_a", "cells_b").mapInArrow(compare, "a long, b long, distance double")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "cells_a", "cells_b").mapInArrow(lean(compare), "a long, b long, distance double")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def links(docs: DataFrame, buckets: DataFrame, texts: DataFrame, p: NearDuplicat
 def search(named: DataFrame, texts: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
     """(a, b): links that connect all similar nodes of the buckets (bucket, band, size, node, class) that have several classes."""
     rows = search_rows(named, texts, sets, p)
-    return rows.repartition("block").sortWithinPartitions("block", "side", "node").mapInArrow(_searcher(p), "a long, b long").distinct()
+    return rows.repartition("block").sortWithinPartitions("block", "side", "node").mapInArrow(lean(_searcher(p)), "a long, b long").distinct()
 
 
 def search_rows(named: DataFrame, texts: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:

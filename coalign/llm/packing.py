@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key
+from .common import doc_key, lean
 from .word_bpe import word_bpe
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(_KINDS)], names=[c.split()[0] for c in PIECES.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut_up, PIECES)
+    return rows.mapInArrow(lean(cut_up), PIECES)
 
 
 def pack(cut: DataFrame, rows: int, capacity: int = 2048, group_rows: int = 16_384) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 #: Fixed classes of characters: lower case, upper case, other letters, digits, white space, stops, quotes and brackets, symbols, the rest.
 CLASSES = ("lower", "upper", "letter", "digit", "space", "stop", "quote", "symbol", "other")
@@ -191,7 +191,7 @@ def _partial_counts(rows: DataFrame, rules: QualityRules) -> DataFrame:
         rest += [(lang, f"c{i}", int(x)) for lang, c in classes.items() for i, x in enumerate(c)]
         yield _count_rows(rest + [(lang, "n", n) for lang, n in totals.items()])
 
-    return rows.mapInArrow(count, _COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lean(count), _COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: QualityRules = QualityRules()) -> dict[str, Reference]:
@@ -223,7 +223,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         yield _count_rows([(k, w, n) for k, c in counts.items() for w, n in c.items()])
 
     exact: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in rows.mapInArrow(count, _COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+    for r in rows.mapInArrow(lean(count), _COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
         exact[r["lang"]][r["word"]] = r["n"]
     return {key: _reference(classes, exact[key], n, rules.share) for key, (classes, _, n) in found.items()}
 
@@ -273,7 +273,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in RESULT.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _lang_key(lang_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(score, RESULT)
+    return rows.mapInArrow(lean(score), RESULT)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rules: QualityRules = QualityRules()) -> DataFrame:
@@ -295,4 +295,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", r
             yield rows.filter(pa.array(good, pa.bool_()))
 
     rows = docs.select("*", _lang_key(lang_col).alias("__lang"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    return rows.mapInArrow(keep, schema)
+    return rows.mapInArrow(lean(keep), schema)

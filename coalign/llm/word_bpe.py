@@ -31,7 +31,7 @@ def _visible_bytes() -> dict[str, int]:
 
 
 class WordBpe:
-    MOST_CACHED = 300_000
+    MOST_CACHED = 150_000
 
     def __init__(self, path: str) -> None:
         import tiktoken
