@@ -9,14 +9,14 @@ from coalign.functions.addresses import normalize_addresses
 from coalign.functions.names import normalize_names
 
 
-def normalize(df: DataFrame, transliterated: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
-    """Name and address columns of raw records (entity_id, business_name, business_address, country)."""
-    return normalize_addresses(normalize_names(df, transliterated=transliterated), aliases=aliases)
+def normalize(df: DataFrame, transliterated: DataFrame | None = None, aliases: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Name and address columns of raw records (``key``, business_name, business_address, country)."""
+    return normalize_addresses(normalize_names(df, transliterated=transliterated, key=key), aliases=aliases, key=key)
 
 
 def prepare(sources: dict[int, DataFrame], **maps) -> tuple[DataFrame, DataFrame]:
     """A, the first source, and B, the others, normalized and tagged with ``src``. The entity id is the key, so order never matters."""
-    tagged = {s: normalize(df.na.fill(""), **maps).withColumn("src", F.lit(s)) for s, df in sources.items()}
+    tagged = {s: normalize(df.na.fill(""), **maps, key="entity_id").withColumn("src", F.lit(s)) for s, df in sources.items()}
     b = None
     for s, df in tagged.items():
         if s != 1:

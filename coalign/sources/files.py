@@ -52,18 +52,26 @@ def load_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     return df.select(*columns) if columns else df
 
 
+def load_with_extra(spark: SparkSession, path: str, extra: str, keys: list[str], where: str | None = None) -> DataFrame:
+    """Rows of a table with the further columns of another one, of which only the rows that are wanted are read on; null where it has none."""
+    rows = load_table(spark, path, where=where)
+    more = load_table(spark, extra).join(rows.select(*keys).distinct(), keys, "left_semi")
+    return rows.join(more, keys, "left")
+
+
 def columns_of(spark: SparkSession, path: str) -> list[str]:
     """The schema only."""
     return spark.read.parquet(path).columns
 
 
-def save_json(value: dict, path: str) -> None:
-    """S13."""
-    Path(path).write_text(json.dumps(value, ensure_ascii=False, sort_keys=True))
+def save_json(spark: SparkSession, value: dict, path: str) -> None:
+    """A small map, in any store that Spark reaches."""
+    text = json.dumps(value, ensure_ascii=False, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def load_json(path: str) -> dict:
-    return json.loads(Path(path).read_text())
+def load_json(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
 
 
 def save_model(model, path: str) -> None:

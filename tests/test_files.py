@@ -1,3 +1,4 @@
+from coalign.operators import model, records
 from coalign.sources import files
 
 
@@ -15,10 +16,39 @@ def test_tables_json_and_log(spark, tmp_path):
     files.save_table(df, str(tmp_path / "t"), "country")
     assert [r.id for r in files.load_table(spark, str(tmp_path / "t"), ["id"], "country = 'b'").collect()] == [2]
     assert sorted(files.columns_of(spark, str(tmp_path / "t"))) == ["country", "id"]
-    files.save_json({"é": [1]}, str(tmp_path / "j.json"))
-    assert files.load_json(str(tmp_path / "j.json")) == {"é": [1]}
+    files.save_json(spark, {"é": [1]}, str(tmp_path / "j"))
+    assert files.load_json(spark, str(tmp_path / "j")) == {"é": [1]}
+    files.write_report(df, str(tmp_path / "report"))
+    (report,) = (tmp_path / "report").glob("part-*")
+    assert sorted(report.read_text().split()) == ["1,a", "2,b", "id,country"]
     for _ in range(2):
         files.append_experiment(spark, str(tmp_path / "log"), "run", "", {"x": 1})
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
     (tmp_path / "a.md").write_text("x")
+    (tmp_path / "b.txt").write_text("x")
     assert files.package(str(tmp_path), str(tmp_path / "p.zip"), (".md",)) == ["a.md"]
+
+
+def test_extra_columns_of_wanted_rows(spark, tmp_path):
+    spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "x")], "a int, b int, c string").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([(1, 1, 0.5), (2, 1, 0.7), (9, 9, 0.9)], "a int, b int, f double").write.parquet(str(tmp_path / "extra"))
+    got = files.load_with_extra(spark, str(tmp_path / "t"), str(tmp_path / "extra"), ["a", "b"], "a = 1")
+    assert sorted(map(tuple, got.select("a", "b", "c", "f").collect())) == [(1, 1, "x", 0.5), (1, 2, "y", None)]
+
+
+def test_models_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 7 > 3)) for i in range(100)], "a int, x double, y double")
+    fitted = model.fit(rows, ["x"], model.boosted(maxIter=2, maxDepth=2))
+    files.save_model(fitted, str(tmp_path / "m"))
+    again = files.load_model(str(tmp_path / "m"))
+    shown = lambda m: {r.a: r.p_raw for r in model.predict(m, rows).collect()}
+    assert shown(again) == shown(fitted)
+
+
+def test_prepared_registers(spark):
+    raw = lambda rows: spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string")
+    sources = {1: raw([("S1-1", "Acme Ltd", "12 Main Street", "IN")]), 2: raw([("S2-1", "शर्मा Foods", None, "IN")]), 3: raw([("S3-1", None, "5 Bengalooru", "IN")])}
+    maps = {"transliterated": spark.createDataFrame([("shrma", "sharma")], "token string, target string"), "aliases": spark.createDataFrame([("IN", "5 bengalooru", "5 bengaluru")], "country string, component string, canonical string")}
+    a, b = records.prepare(sources, **maps)
+    assert [(r.src, r.core, r.addr) for r in a.collect()] == [(1, "acme", "12 main st")]
+    assert sorted((r.src, r.core, r.addr) for r in b.collect()) == [(2, "sharma foods", ""), (3, "", "5 bengaluru")]
