@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, chunked, cut, cut_buckets, mix, powers, tidy, unpack, word_bounds, word_hashes
+from .common import _BYTE, chunked, cut, cut_buckets, lean, lean_group, mix, powers, unpack, word_bounds, word_hashes
 
 BLOB = "part int, chunk long, kind int, body binary"
 _BLOB_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
@@ -215,7 +215,7 @@ def repeated(chunks: DataFrame, scheme: Scheme, parts: int) -> DataFrame:
         hot[order] = (np.add.reduceat(times[order], begin) > HOT)[of] if len(s) else False
         return pa.Table.from_batches([_blobs([(p, c, 0, _zip(np.packbits(flag[x:y]), np.flatnonzero(hot[x:y]).astype(np.uint32))) for p, c, x, y in zip(table["part"].to_pylist(), table["chunk"].to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False)])])
 
-    return chunks.mapInArrow(send, BLOB).groupBy("part").applyInArrow(compare, BLOB)
+    return chunks.mapInArrow(lean(send), BLOB).groupBy("part").applyInArrow(lean_group(compare), BLOB)
 
 
 # Step 3
@@ -369,7 +369,7 @@ def runs(chunks: DataFrame, bits: DataFrame, scheme: Scheme, parts: int, route:
         ends = np.append(begin[1:], len(c.part))
         return pa.Table.from_batches([_blobs([(int(c.part[s]), chunk, 0, encode_run(c.distinct, s, e)) for s, e in zip(begin.tolist(), ends.tolist(), strict=False)])])
 
-    return chunks.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(send, BLOB)
+    return chunks.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(lean_group(send), BLOB)
 
 
 # Step 4
@@ -420,7 +420,7 @@ def covered(sent: DataFrame, scheme: Scheme, order: Callable[[list[tuple[Suffixe
         bounds = np.cumsum([0, *(len(x[1]) for x in decoded)])
         return pa.Table.from_batches([_blobs([(p, c, 1, _zip(mask[s:e])) for p, c, s, e in zip(table["part"].to_pylist(), table["chunk"].to_pylist(), bounds, bounds[1:], strict=False)])])
 
-    return sent.groupBy("part").applyInArrow(decide, BLOB)
+    return sent.groupBy("part").applyInArrow(lean_group(decide), BLOB)
 
 
 # Step 5
@@ -458,9 +458,7 @@ def drop_repeats(docs: DataFrame, scheme: Scheme, order: Callable, write: Callab
         units, first = units_of(scheme, raw, offsets)
         c = candidates(scheme, units, first, keys, back[0], parts, route)
         gone = removed_units(scheme, c, back[1], keys, len(units))
-        del c
-        tidy()
         return write(raw, offsets, units, first, gone, keys, has_id)
 
     back = bits.unionByName(masks)
-    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(finish, schema)
+    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lean_group(finish), schema)

@@ -51,6 +51,18 @@ def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
     return run
 
 
+def lean_group(f: Callable) -> Callable:
+    """The same for a function of a key and its rows, or of the rows of both sides."""
+
+    def run(first, second):
+        out = f(first, second)
+        tidy()
+        return out
+
+    run.__annotations__ = f.__annotations__  # by which Spark tells what the function takes
+    return run
+
+
 # Chunks: one row holds many whole documents. The chunk table is written once, so
 # the number of a document in its chunk names the document in all later steps.
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchored import BLOB, _blobs, _short, _slices, _unzip, _zip
-from .common import _UNBASE, chunked, cut, cut_buckets, mix, powers, unpack, word_bounds, word_hashes
+from .common import _UNBASE, chunked, cut, cut_buckets, lean, lean_group, mix, powers, unpack, word_bounds, word_hashes
 
 RESULT = "doc_id long, n_lines long, n_removed long, kept string"
 
@@ -157,7 +157,7 @@ def offers(chunks: DataFrame, rules: LineRules, parts: int) -> DataFrame:
             flag[order[same[1:] | same[:-1]]] = True
         return _answers(table, flag, sizes, kind)
 
-    return chunks.mapInArrow(send, BLOB).groupBy("kind", "part").applyInArrow(compare, BLOB)
+    return chunks.mapInArrow(lean(send), BLOB).groupBy("kind", "part").applyInArrow(lean_group(compare), BLOB)
 
 
 def _ranks(key: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -230,7 +230,7 @@ def joined(chunks: DataFrame, answers: DataFrame, rules: LineRules, parts: int)
         rows = zip(table["part"].to_pylist(), table["chunk"].to_pylist(), (g[4] for g in got), bounds, bounds[1:], strict=False)
         return pa.Table.from_batches([_blobs([(p, c, 2, _zip(np.unique(line[flag[s:e]]))) for p, c, line, s, e in rows])])
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send, BLOB).groupBy("part").applyInArrow(decide, BLOB)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_group(send), BLOB).groupBy("part").applyInArrow(lean_group(decide), BLOB)
 
 
 def _returned(left: pa.Table, right: pa.Table) -> tuple[int, bytes, dict[int, dict[int, bytes]]]:
@@ -277,7 +277,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             kept.append(text)
         return pa.table({"doc_id": pa.array(keys, mask=~has_id), "n_lines": pa.array(x.n_lines.astype(np.int64)), "n_removed": pa.array(np.diff(by_doc).astype(np.int64)), "kept": pa.array(kept, pa.string())})
 
-    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(finish, RESULT)
+    return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lean_group(finish), RESULT)
 
 
 def near(a: list[str], b: list[str]) -> bool:

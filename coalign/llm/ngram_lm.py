@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchored import BLOB, _blobs, _unzip, _zip
-from .common import chunked, cut, cut_buckets, drop, mix, unpack, word_bounds, word_hashes
+from .common import chunked, cut, cut_buckets, drop, lean, lean_group, mix, unpack, word_bounds, word_hashes
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 START, END = np.uint64(0x5EED00000000005A), np.uint64(0x5EED0000000000E5)
@@ -189,7 +189,7 @@ def count_bigrams(chunks: DataFrame, rules: LmRules, parts: int) -> DataFrame:
         rows += [(p, MODEL, 1, _zip(planes(value[stored], 5), times[stored])), (p, MODEL, 2, _zip(np.array([*_times(times), len(times)], np.int64)))]
         return pa.Table.from_batches([_blobs(rows)])
 
-    return chunks.mapInArrow(send, BLOB).groupBy("part").applyInArrow(add, BLOB)
+    return chunks.mapInArrow(lean(send), BLOB).groupBy("part").applyInArrow(lean_group(add), BLOB)
 
 
 def _back(right: pa.Table) -> dict[tuple[int, int], bytes]:
@@ -230,7 +230,7 @@ def count_words(chunks: DataFrame, owned: DataFrame, rules: LmRules, parts: int,
         numbers = np.array([*_times(ends[real]), int((ends[real] > 2).sum()), int(times[real].sum()), int(real.sum())], np.int64)
         return pa.Table.from_batches([_blobs([(p, MODEL, 0, _zip(value, times, ends, backoff.view(np.uint64))), (p, MODEL, 2, _zip(numbers))])])
 
-    return chunks.groupBy("chunk").cogroup(owned.groupBy("chunk")).applyInArrow(send, BLOB).groupBy("part").applyInArrow(add, BLOB)
+    return chunks.groupBy("chunk").cogroup(owned.groupBy("chunk")).applyInArrow(lean_group(send), BLOB).groupBy("part").applyInArrow(lean_group(add), BLOB)
 
 
 def _numbers(rows: DataFrame) -> np.ndarray:
@@ -244,7 +244,7 @@ def _numbers(rows: DataFrame) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["i", "n"])
 
-    found = rows.where("kind = 2").mapInArrow(add, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
+    found = rows.where("kind = 2").mapInArrow(lean(add), "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()
     return np.array([r["n"] for r in sorted(found, key=lambda r: r["i"])], np.int64)
 
 
@@ -319,7 +319,7 @@ def look_up(chunks: DataFrame, model: Model, rules: LmRules) -> DataFrame:
             del keys, values
         return pa.Table.from_batches([_blobs(out)])
 
-    return chunks.mapInArrow(ask, BLOB).groupBy("kind", "part").cogroup(model.arrays.groupBy("kind", "part")).applyInArrow(answer, BLOB)
+    return chunks.mapInArrow(lean(ask), BLOB).groupBy("kind", "part").cogroup(model.arrays.groupBy("kind", "part")).applyInArrow(lean_group(answer), BLOB)
 
 
 def score(chunks: DataFrame, model: Model, rules: LmRules = LmRules()) -> DataFrame:
@@ -359,7 +359,7 @@ def score(chunks: DataFrame, model: Model, rules: LmRules = LmRules()) -> DataFr
             }
         )
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(finish, RESULT)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_group(finish), RESULT)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: LmRules = LmRules()) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchored import Scheme, Suffixes, anchors, drop_repeats, shared, units_of
-from .common import cut, mix, unpack, word_bounds
+from .common import cut, lean, mix, unpack, word_bounds
 
 RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
@@ -61,7 +61,7 @@ def heavy_prefixes(chunks: DataFrame, scheme: Scheme, limit: int) -> list[np.nda
                     out += [(n, h, c) for h, c in zip(value[often].view(np.int64).tolist(), times[often].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["n", "prefix", "times"])
 
-    counted = cut(chunks.mapInArrow(count, "n int, prefix long, times long").groupBy("n", "prefix").agg(F.sum("times").alias("times")))
+    counted = cut(chunks.mapInArrow(lean(count), "n int, prefix long, times long").groupBy("n", "prefix").agg(F.sum("times").alias("times")))
     total = counted.where("n = 0").agg(F.sum("times")).first()[0] or 0
     if total > MOST_HEAVY * limit:
         return None
