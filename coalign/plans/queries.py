@@ -302,11 +302,11 @@ def f06(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features of all pairs, a stage table."""
+    """All features of the candidates, a stage table."""
 
     def make() -> tuple[DataFrame, ...]:
         a, b, _ = registers(spark, sf_dir)
-        return (cut(features.pair_features(scored_pairs(spark, sf_dir).select("a", "b", "country", "cheap"), a, b)),)
+        return (cut(features.pair_features(candidates(spark, sf_dir).select("a", "b", "country", "cheap"), a, b)),)
 
     return linkage._once(spark, sf_dir, "features", make)[0]
 
@@ -316,22 +316,22 @@ _NT = ["nt_wjac", "nt_wov", "nt_wcov_a", "nt_wcov_b", "nt_nmatch", "nt_na", "nt_
 
 @query(
     "F08_F09_set_features",
-    f"WITH {WEIGHTS} SELECT a, b, round(n_jac, 6) AS nt_wjac, round(n_ov, 6) AS nt_wov, round(CASE WHEN na > 0 THEN ni / na ELSE 0 END, 6) AS nt_wcov_a, "
+    f"WITH {RANKED} SELECT a, b, round(n_jac, 6) AS nt_wjac, round(n_ov, 6) AS nt_wov, round(CASE WHEN na > 0 THEN ni / na ELSE 0 END, 6) AS nt_wcov_a, "
     "round(CASE WHEN nb > 0 THEN ni / nb ELSE 0 END, 6) AS nt_wcov_b, nn::DOUBLE AS nt_nmatch, nan::DOUBLE AS nt_na, nbn::DOUBLE AS nt_nb, "
-    "round(c_ov, 6) AS ac_wov, round(c_jac, 6) AS ac_wjac FROM ovl",
+    "round(c_ov, 6) AS ac_wov, round(c_jac, 6) AS ac_wjac FROM ranked",
 )
 def f09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pair_features(spark, sf_dir).select("a", "b", *(_r(c) for c in (*_NT, "ac_wov", "ac_wjac")))
 
 
-_UNMATCHED = f"""WITH {WEIGHTS},
-ua AS (SELECT p.a, p.b, max(x.idf) AS i, max(x.df) AS d, count(*) FILTER (x.df >= 3) AS n FROM pairs p JOIN w1_b x ON x.id = p.a
+_UNMATCHED = f"""WITH {RANKED},
+ua AS (SELECT p.a, p.b, max(x.idf) AS i, max(x.df) AS d, count(*) FILTER (x.df >= 3) AS n FROM ranked p JOIN w1_b x ON x.id = p.a
        WHERE NOT EXISTS (SELECT 1 FROM w1_b y WHERE y.id = p.b AND y.t = x.t) GROUP BY ALL),
-ub AS (SELECT p.a, p.b, max(x.idf) AS i, max(x.df) AS d, count(*) FILTER (x.df >= 3) AS n FROM pairs p JOIN w1_b x ON x.id = p.b
+ub AS (SELECT p.a, p.b, max(x.idf) AS i, max(x.df) AS d, count(*) FILTER (x.df >= 3) AS n FROM ranked p JOIN w1_b x ON x.id = p.b
        WHERE NOT EXISTS (SELECT 1 FROM w1_b y WHERE y.id = p.a AND y.t = x.t) GROUP BY ALL)
 SELECT p.a, p.b, round(coalesce(ua.i, 0), 6) AS nt_maxidf_un_a, round(coalesce(ub.i, 0), 6) AS nt_maxidf_un_b, round(ln(1 + coalesce(ua.d, 0)), 6) AS nt_maxdf_un_a,
        round(ln(1 + coalesce(ub.d, 0)), 6) AS nt_maxdf_un_b, coalesce(ua.n, 0)::DOUBLE AS nt_ndist_un_a, coalesce(ub.n, 0)::DOUBLE AS nt_ndist_un_b
-FROM pairs p LEFT JOIN ua USING (a, b) LEFT JOIN ub USING (a, b)"""
+FROM ranked p LEFT JOIN ua USING (a, b) LEFT JOIN ub USING (a, b)"""
 
 
 @query("F10_F11_unmatched_tokens", _UNMATCHED)
@@ -345,7 +345,7 @@ def f24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("a", "b", *(_r(c) for c in rows.columns if c not in ("a", "b", "country")))
 
 
-@query("F15_jaro_winkler", f"WITH {PAIRS} SELECT a, b, round(jaro_winkler_similarity(x.compact, y.compact), 6) AS c_jw FROM pairs JOIN normal x ON x.id = a JOIN normal y ON y.id = b")
+@query("F15_jaro_winkler", f"WITH {RANKED} SELECT a, b, round(jaro_winkler_similarity(x.compact, y.compact), 6) AS c_jw FROM ranked JOIN normal x ON x.id = a JOIN normal y ON y.id = b")
 def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pair_features(spark, sf_dir).select("a", "b", _r("c_jw"))
 
@@ -364,13 +364,13 @@ def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", features.digit_edit1(F.col("o_orderkey"), F.col("o_custkey")).alias("edit1"))
 
 
-_PLAIN = f"""WITH {PAIRS}
+_PLAIN = f"""WITH {RANKED}
 SELECT a, b, length(x.compact)::DOUBLE AS len_a, length(y.compact)::DOUBLE AS len_b,
   (least(length(x.compact), length(y.compact)) >= 4 AND (contains(x.compact, y.compact) OR contains(y.compact, x.compact)))::INT::DOUBLE AS c_contain,
   (x.legal = y.legal AND x.legal <> '')::INT::DOUBLE AS legal_eq, (x.legal <> y.legal AND x.legal <> '' AND y.legal <> '')::INT::DOUBLE AS legal_conf,
   ((x.legal = '') <> (y.legal = ''))::INT::DOUBLE AS legal_miss, y.native::INT::DOUBLE AS native_b, y.addr_empty::INT::DOUBLE AS aempty_b,
   round(ln(1 + (SELECT count(*) FROM normal z WHERE z.core = x.core)), 6) AS corefreq_a, round(ln(1 + (SELECT count(*) FROM normal z WHERE z.core = y.core)), 6) AS corefreq_b
-FROM pairs JOIN normal x ON x.id = a JOIN normal y ON y.id = b"""
+FROM ranked JOIN normal x ON x.id = a JOIN normal y ON y.id = b"""
 
 
 @query("F16_F18_F22_plain_features", _PLAIN)
@@ -965,7 +965,7 @@ def l01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).select("a", "b", model.fold_of().alias("fold"), model.in_train_sample().alias("sampled"))
 
 
-@query("L03_labels", f"WITH {PAIRS} SELECT a, b, ((a, b) IN (SELECT (a, b) FROM truth))::INT::DOUBLE AS y FROM pairs")
+@query("L03_labels", f"WITH {RANKED} SELECT a, b, ((a, b) IN (SELECT (a, b) FROM truth))::INT::DOUBLE AS y FROM ranked")
 def l03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _labelled_features(spark, sf_dir).select("a", "b", "y")
 
