@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import inspect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,7 +60,7 @@ def lean_group(f: Callable) -> Callable:
         tidy()
         return out
 
-    run.__annotations__ = f.__annotations__  # by which Spark tells what the function takes
+    run.__annotations__, run.__signature__ = f.__annotations__, inspect.signature(f)  # by which Spark tells what the function takes
     return run
 
 
