@@ -884,14 +884,14 @@ def r03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORST_PAIRS = f"""WITH {RANKED},
-pr AS (SELECT a, b, least(cheap / 2, 1.0) AS p FROM ranked),
-one AS (SELECT *, max(p) OVER (PARTITION BY a) AS m FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY p DESC, a) AS n FROM pr) WHERE n = 1),
-hit AS (SELECT o.a, count(*) AS npred, count(t.a) AS tp FROM one o LEFT JOIN truth t USING (a, b) WHERE p >= 0.3 AND p >= 0.6 * m AND m >= 0.4 GROUP BY o.a),
+halved AS (SELECT a, b, least(cheap / 2, 1.0) AS p FROM ranked),
+single AS (SELECT *, max(p) OVER (PARTITION BY a) AS m FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY p DESC, a) AS n FROM halved) WHERE n = 1),
+hit AS (SELECT o.a, count(*) AS npred, count(t.a) AS tp FROM single o LEFT JOIN truth t USING (a, b) WHERE p >= 0.3 AND p >= 0.6 * m AND m >= 0.4 GROUP BY o.a),
 sc AS (SELECT x.id AS a, coalesce(n, 0) AS ntrue, coalesce(npred, 0) AS npred,
          CASE WHEN coalesce(n, 0) = 0 THEN (coalesce(npred, 0) = 0)::INT::DOUBLE ELSE 1.25 * coalesce(tp, 0) / (0.25 * n + coalesce(npred, 0)) END AS f05
-       FROM rec_a x LEFT JOIN (SELECT a, count(*) AS n FROM truth GROUP BY a) t ON t.a = x.id LEFT JOIN hit h ON h.a = x.id WHERE x.id IN (SELECT a FROM pr)),
+       FROM rec_a x LEFT JOIN (SELECT a, count(*) AS n FROM truth GROUP BY a) t ON t.a = x.id LEFT JOIN hit h ON h.a = x.id WHERE x.id IN (SELECT a FROM halved)),
 bad AS (SELECT a FROM sc ORDER BY f05, ntrue DESC, npred DESC, a LIMIT 500)
-SELECT a, b, round(p, 6) AS p, y.name_norm AS b_name, y.addr AS b_addr, ((a, b) IN (SELECT (a, b) FROM truth))::INT AS is_true FROM pr JOIN bad USING (a) JOIN rec_b y ON y.id = pr.b"""
+SELECT a, b, round(p, 6) AS p, y.name_norm AS b_name, y.addr AS b_addr, ((a, b) IN (SELECT (a, b) FROM truth))::INT AS is_true FROM halved JOIN bad USING (a) JOIN rec_b y ON y.id = halved.b"""
 
 
 @query("R03_worst_pairs", _WORST_PAIRS)
