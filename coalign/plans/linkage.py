@@ -104,7 +104,7 @@ class RunRules:
     """``most_rows``: about as many labelled pairs as a learner is fitted on, chosen by hash of the record; all pairs are scored."""
 
     folds: int = 3
-    most_rows: int = 200_000
+    most_rows: int = 100_000
     trees: dict = field(default_factory=lambda: {"maxIter": 10, "maxDepth": 4})
     min_count: int = 3
     min_alias: int = 20
