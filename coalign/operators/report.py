@@ -101,10 +101,10 @@ def error_report(pairs: DataFrame, by: str | None = None) -> DataFrame:
     cuts = {f"p_{lo}_{hi}": F.count_if((p >= lo / 10) & (p < hi / 10)) for lo, hi in ((0, 1), (1, 5), (5, 9))} | {"p_9_10": F.count_if(p >= 0.9)}
     measures = cuts | {
         "n": F.count(F.lit(1)),
-        "mean_p": F.round(F.avg("p"), 6),
-        "std_p": F.round(F.stddev_samp("p"), 6),
-        "mean_true": F.round(F.avg(F.when(true, p)), 6),
-        "mean_false": F.round(F.avg(F.when(~true, p)), 6),
+        "mean_p": F.round(F.avg("p"), 9),
+        "std_p": F.round(F.stddev_samp("p"), 9),
+        "mean_true": F.round(F.avg(F.when(true, p)), 9),
+        "mean_false": F.round(F.avg(F.when(~true, p)), 9),
         "false_negatives": F.count_if(true & (p < 0.5)),
         "false_positives": F.count_if(~true & (p >= 0.5)),
         "uncertain": F.count_if((p >= 0.3) & (p <= 0.7)),
@@ -113,7 +113,7 @@ def error_report(pairs: DataFrame, by: str | None = None) -> DataFrame:
     keys = [by] if by else []
     out = pairs.groupBy(*keys).agg(*(c.alias(n) for n, c in measures.items()))
     for name, which in (("true", true), ("false", ~true)):
-        medians = grid_median(pairs.where(which), p, keys).withColumn("median", F.round("median", 6)).withColumnRenamed("median", f"median_{name}")
+        medians = grid_median(pairs.where(which), p, keys).withColumn("median", F.round("median", 9)).withColumnRenamed("median", f"median_{name}")
         on = F.col(f"x.{by}").eqNullSafe(F.col(f"y.{by}")) if by else F.lit(True)
         out = out.alias("x").join(F.broadcast(medians.alias("y")), on, "left").select("x.*", f"y.median_{name}")
     return out

@@ -238,9 +238,9 @@ def b15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.sampled(registers(spark, sf_dir)[0], 10).select("id", "country")
 
 
-@query("B16_cheap_score", f"WITH {CHEAP} SELECT a, b, round(cheap, 6) AS cheap FROM cheap")
+@query("B16_cheap_score", f"WITH {CHEAP} SELECT a, b, cheap FROM cheap")
 def b16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_pairs(spark, sf_dir).select("a", "b", _r("cheap"))
+    return scored_pairs(spark, sf_dir).select("a", "b", "cheap")
 
 
 @query("B20_weighted_overlap", f"WITH {WEIGHTS} SELECT a, b, round(n_ov, 6) AS n_ov, round(n_jac, 6) AS n_jac, round(a_ov, 6) AS a_ov, round(a_jac, 6) AS a_jac FROM ovl")
@@ -907,8 +907,8 @@ def r03_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ERRORS = f"""WITH {SCORED}
 SELECT country, count(*) FILTER (p >= 0.0 AND p < 0.1) AS p_0_1, count(*) FILTER (p >= 0.1 AND p < 0.5) AS p_1_5, count(*) FILTER (p >= 0.5 AND p < 0.9) AS p_5_9, count(*) FILTER (p >= 0.9) AS p_9_10, count(*) AS n,
-  round(avg(p), 6) AS mean_p, round(stddev_samp(p), 6) AS std_p, round(avg(p) FILTER (y = 1), 6) AS mean_true, round(median(p) FILTER (y = 1), 6) AS median_true, round(avg(p) FILTER (y = 0), 6) AS mean_false,
-  round(median(p) FILTER (y = 0), 6) AS median_false, count(*) FILTER (y = 1 AND p < 0.5) AS false_negatives, count(*) FILTER (y = 0 AND p >= 0.5) AS false_positives, count(*) FILTER (p >= 0.3 AND p <= 0.7) AS uncertain,
+  round(avg(p), 9) AS mean_p, round(stddev_samp(p), 9) AS std_p, round(avg(p) FILTER (y = 1), 9) AS mean_true, round(median(p) FILTER (y = 1), 9) AS median_true, round(avg(p) FILTER (y = 0), 9) AS mean_false,
+  round(median(p) FILTER (y = 0), 9) AS median_false, count(*) FILTER (y = 1 AND p < 0.5) AS false_negatives, count(*) FILTER (y = 0 AND p >= 0.5) AS false_positives, count(*) FILTER (p >= 0.3 AND p <= 0.7) AS uncertain,
   count(*) FILTER (y = 1 AND p >= 0.3 AND p <= 0.7) AS uncertain_true FROM labelled JOIN all_a USING (a) GROUP BY country"""
 
 
@@ -1005,7 +1005,7 @@ def b17(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e02(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linkage.bounded(_labelled_features(spark, sf_dir), linkage.RunRules().most_rows)
     _, found = model.search(rows, _all_features(rows), {"maxDepth": [3, 5], "minInstancesPerNode": [1, 20]}, "forest")
-    return spark.createDataFrame([(int(p["maxDepth"]), int(p["minInstancesPerNode"]), round(s, 6)) for p, s in found], "max_depth int, min_rows int, area_under_pr double")
+    return spark.createDataFrame([(int(p["maxDepth"]), int(p["minInstancesPerNode"]), round(float(s), 6)) for p, s in found], "max_depth int, min_rows int, area_under_pr double")
 
 
 @query("E03_E04_blend")
