@@ -14,6 +14,7 @@ judged on the histogram in question at all.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -22,9 +23,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, lean
+from .common import lean
 
 #: Fixed classes of characters: lower case, upper case, other letters, digits, white space, stops, quotes and brackets, symbols, the rest.
 CLASSES = ("lower", "upper", "letter", "digit", "space", "stop", "quote", "symbol", "other")
@@ -203,16 +205,19 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     numbers a language and no more reach the driver.
     """
     rows = docs.select(_lang_key(lang_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    partial = cut(_partial_counts(rows, rules))
-    totals = partial.where("word in ('n', 'p')").groupBy("lang").agg(F.max(F.when(F.col("word") == "n", F.col("n"))).alias("words"), F.max(F.when(F.col("word") == "p", F.col("n"))).alias("parts"))
-    least = rules.share * (F.col("words") - F.coalesce("parts", F.lit(0)) / 8)
-    named = partial.join(totals, "lang").where(~F.col("word").startswith("w") | (F.col("n") >= least - 1e-6)).select("lang", "word", "n").collect()
+    most = math.ceil(8 / 7 / rules.share) + 1
+    # a language's words by count, and apart from them its few other numbers; each task passes on the first ones only
+    named = _partial_counts(rows, rules).withColumn("is_word", F.col("word").startswith("w"))
+    by_count = W.partitionBy("lang", "is_word").orderBy(F.desc("n"), "word")
+    named = named.withColumn("nth", F.row_number().over(by_count)).where(F.col("nth") <= most).select("lang", "word", "n").collect()
     found: dict[str, tuple[np.ndarray, frozenset[str], int]] = {}
     by_lang: dict[str, dict[str, int]] = defaultdict(dict)
     for r in named:
         by_lang[r["lang"]][r["word"]] = r["n"]
     for key, own in by_lang.items():
-        found[key] = (np.array([own.get(f"c{i}", 0) for i in range(len(CLASSES))]), frozenset(w[1:] for w in own if w[0] == "w"), own.get("n", 0))
+        n = own.get("n", 0)
+        least = rules.share * (n - own.get("p", 0) / 8) - 1e-6
+        found[key] = (np.array([own.get(f"c{i}", 0) for i in range(len(CLASSES))]), frozenset(w[1:] for w, k in own.items() if w[0] == "w" and k >= least), n)
     wanted = {key: words for key, (_, words, _) in found.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
