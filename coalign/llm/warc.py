@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import datetime
+import functools
 import gzip
 import hashlib
 import re
@@ -34,6 +35,8 @@ FIELDS = {
 }
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HOT_ROWS, MOST_HOT = 1_000, 10_000
+#: Bytes that are handed to a decompressor at once; what lies behind the end of a member is copied.
+WINDOW = 1 << 14
 
 
 class ArchiveError(ValueError):
@@ -91,6 +94,7 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         yield ArcRecord(fields[0], fields[1], fields[2], fields[3], content, version)
 
 
+@functools.lru_cache(4096)
 def warc_date(date: str) -> str:
     """The time of a 14-digit date; a shorter one is completed, one that isn't a date becomes the epoch."""
     digits = re.sub(r"\D", "", date)[:14]
@@ -171,11 +175,16 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def gunzip(data: bytes) -> Iterator[bytes]:
-    """The members of a gzip file, one after another."""
-    while data:
-        d = zlib.decompressobj(31)
-        yield d.decompress(data) + d.flush()
-        data = d.unused_data
+    """The members of a gzip file, one after another, in time that grows with the file and not with its square."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof and at < len(view):
+            window = view[at : at + WINDOW]
+            parts.append(d.decompress(window))
+            at += len(window)
+        at -= len(d.unused_data)
+        yield b"".join([*parts, d.flush()])
 
 
 def _member(data: bytes) -> bytes:

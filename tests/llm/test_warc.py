@@ -1,4 +1,7 @@
+import gzip
 import hashlib
+import os
+import zlib
 
 import pytest
 
@@ -44,6 +47,38 @@ def test_blank_in_url_and_broken_archives():
             list(warc.read_arc(bad))
 
 
+@pytest.mark.parametrize("window", [1, 7, 1 << 14])
+def test_members_of_any_length(monkeypatch, window):
+    monkeypatch.setattr(warc, "WINDOW", window)
+    members = [b"", b"a", os.urandom(40_000), b"b" * 100_000, b"", b"c"]
+    data = b"".join(gzip.compress(m, 1) for m in members)
+    assert list(warc.gunzip(data)) == members
+    assert list(warc.gunzip(b"")) == []
+    with pytest.raises(zlib.error):
+        list(warc.gunzip(data + b"no member"))
+
+
+def test_members_are_read_in_linear_time(monkeypatch):
+    """A decompressor copies what lies behind its member, so it must not be given the whole rest of an archive."""
+    given, new = [], zlib.decompressobj
+
+    class Counted:
+        def __init__(self, *args):
+            self.d = new(*args)
+
+        def decompress(self, data):
+            given.append(len(data))
+            return self.d.decompress(data)
+
+        def __getattr__(self, name):
+            return getattr(self.d, name)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counted)
+    members = [os.urandom(1000) for _ in range(500)]
+    assert list(warc.gunzip(b"".join(gzip.compress(m, 1) for m in members))) == members
+    assert sum(given) <= 500 * 20_000  # the rests of this archive are 128 MB
+
+
 def test_pages(spark):
     big = "é" * 600
     rows = [(1, "http://a", big, 0), (2, None, big, 0), (9, "http://c d", big, 0), (9, "http://c", big, 0), (3, "u", "x" * 999, 0), (4, "u", "x" * 999, 0), (5, "u", None, 0), (6, "u", "", 0), (None, "u", big, 0)]
