@@ -32,11 +32,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_key, lean, mix, word_bounds, word_hashes
+from .common import doc_key, lean, mix, word_bounds, word_hashes
+from .common import cut as cut_as_dealt
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A stage table of about four files for each core, however finely its rows are dealt.
+
+    A task writes one part after the other. For each file an executor may start a
+    process to set its mode, which counts as large as the JVM until it has become that
+    process, and classes are found in some thirty small tables.
+    """
+    return cut_as_dealt(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 @dataclass(frozen=True)
 class NearDuplicates:
     shingle: int = 5

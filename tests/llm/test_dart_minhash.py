@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from coalign.llm import dart_minhash as dm
+from coalign.sources import scratch
 
 
 def test_collisions_follow_weighted_jaccard():
@@ -126,3 +127,28 @@ def test_long_texts_ties_and_clashing_names(spark):
     docs = spark.createDataFrame([(k, t, *range(len(columns))) for k, t in texts.items()], "doc_id long, text string, " + ", ".join(f"{c} int" for c in columns))
     got = {r.doc_id: r.class_id for r in dm.near_duplicates(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7}
+
+
+def test_stage_tables_have_few_files(spark, monkeypatch, tmp_path):
+    """However many partitions the rows of a shuffle are dealt to."""
+    rows = spark.createDataFrame([(k, t) for k, t in corpus(5).items()], "doc_id long, text string")
+    before = {c: spark.conf.get(c, None) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    files, real = [], scratch.cut
+    for module in (scratch, dm):
+        for name in ("cut", "cut_as_dealt"):
+            if getattr(module, name, None) is real:
+                monkeypatch.setattr(module, name, lambda df, *by: counted(real(df, *by)))
+
+    def counted(table):
+        files.append(len(table.inputFiles()))
+        return table
+
+    try:
+        for c, v in zip(before, ("100", "false")):
+            spark.conf.set(c, v)
+        want = dm.near_duplicates(rows).count()
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert want == rows.count() and len(files) > 10
+    assert max(files) <= 4 * spark.sparkContext.defaultParallelism < 100
