@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from coalign.functions.vocabulary import KEY_TYPES
-from coalign.operators import blocking, keys, mine
+from coalign.operators import blocking, features, keys, mine
 from coalign.plans import linkage
 
 SMALL = "/root/testdata/sf0.001"
@@ -102,3 +102,12 @@ def test_replaced_components_are_counted_for_each_positive(spark):
     pairs, totals = mine.replaced_components(d)
     assert sorted(map(tuple, pairs.collect())) == [("IN", "main rd", "mg rd", 3), ("IN", "y", "x", 1)]
     assert sorted(map(tuple, totals.collect())) == [("IN", "main rd", 3), ("IN", "y", 1), ("US", "z", 1)]
+
+
+def test_only_the_ratios_that_are_shown_are_made(spark, monkeypatch):
+    made, real = [], features.pair_features
+    monkeypatch.setattr(features, "pair_features", lambda *x, **y: made.append(real(*x, **y)) or made[-1])
+    rows = entry.queries()["F14_string_ratios"](spark, SMALL)
+    assert set(made[0].columns) - {"country", "cheap"} == set(rows.columns)
+    whole = real(linkage.candidates(spark, SMALL).select("a", "b"), *linkage.registers(spark, SMALL)[:2], parts=("strings",))
+    assert sorted(rows.collect()) == sorted(whole.select("a", "b", *(F.round(c, 6).alias(c) for c in rows.columns[2:])).collect())
