@@ -1,5 +1,5 @@
 from coalign.operators import model, records
-from coalign.sources import files
+from coalign.sources import files, scratch
 
 
 def test_tsv_round_trip(spark, tmp_path):
@@ -52,3 +52,16 @@ def test_prepared_registers(spark):
     a, b = records.prepare(sources, **maps)
     assert [(r.src, r.core, r.addr) for r in a.collect()] == [(1, "acme", "12 main st")]
     assert sorted((r.src, r.core, r.addr) for r in b.collect()) == [(2, "sharma foods", ""), (3, "", "5 bengaluru")]
+
+
+def test_parts_are_written_in_turn(spark):
+    there = []
+
+    def parts():
+        for i in range(3):
+            yield spark.range(i, i + 1)
+            there.append(i)
+
+    rows = scratch.cut_in_turn(parts())
+    assert there == [0, 1, 2] and sorted(r.id for r in rows.collect()) == [0, 1, 2]
+    scratch.drop(rows)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from coalign.functions.vocabulary import KEY_TYPES
-from coalign.operators import blocking, features, keys, mine
+from coalign.operators import blocking, features, keys, mine, tiles
 from coalign.plans import linkage
 
 SMALL = "/root/testdata/sf0.001"
@@ -111,3 +111,26 @@ def test_only_the_ratios_that_are_shown_are_made(spark, monkeypatch):
     assert set(made[0].columns) - {"country", "cheap"} == set(rows.columns)
     whole = real(linkage.candidates(spark, SMALL).select("a", "b"), *linkage.registers(spark, SMALL)[:2], parts=("strings",))
     assert sorted(rows.collect()) == sorted(whole.select("a", "b", *(F.round(c, 6).alias(c) for c in rows.columns[2:])).collect())
+
+
+def test_features_in_rounds_are_as_at_once(spark, monkeypatch):
+    a, b, _ = linkage.registers(spark, SMALL)
+    pairs = linkage.candidates(spark, SMALL).select("a", "b", "cheap")
+    want = sorted(features.pair_features(pairs, a, b, parts=("nt", "plain", "numbers")).collect())
+    for name, value in (("TILE", 50), ("COPIES", 1000), ("PARTS", ("nt", "plain", "numbers"))):
+        monkeypatch.setattr(features, name, value)
+    of_round, kept = [], []
+    keep = lambda df: kept.append(linkage.cut(df)) or kept[-1]
+    for part in features.feature_rounds(pairs, a, b, parts=features.PARTS, keep=keep):
+        assert len(kept) == 3  # written before the first round
+        of_round.append(part.collect())
+    assert len(of_round) > 3 and sorted(r for rows in of_round for r in rows) == want
+    # a round has all pairs of its records of a
+    assert sum(len({r.a for r in rows}) for rows in of_round) == len({r.a for r in want})
+
+
+def test_rounds_of_a_grid():
+    assert tiles.rounds(6, 100, 1000, 1) == [range(6)]
+    assert tiles.rounds(6, 600, 200, 1) == [range(2), range(2, 4), range(4, 6)]
+    assert tiles.rounds(5, 500, 1, 1) == [range(i, i + 1) for i in range(5)]
+    assert tiles.rounds(5, 500, 1, 8) == [range(2), range(2, 4), range(4, 5)]  # tiles for all tasks
