@@ -1,3 +1,7 @@
+from types import SimpleNamespace
+
+import pytest
+
 from coalign.operators import model, records
 from coalign.sources import files, scratch
 
@@ -65,3 +69,16 @@ def test_parts_are_written_in_turn(spark):
     rows = scratch.cut_in_turn(parts())
     assert there == [0, 1, 2] and sorted(r.id for r in rows.collect()) == [0, 1, 2]
     scratch.drop(rows)
+
+
+@pytest.mark.parametrize(("total", "times"), [(400, 0), (600, 1)])
+def test_a_large_heap_is_collected(monkeypatch, total, times):
+    monkeypatch.setattr(scratch, "_trim", lambda spark: None)
+    found = []
+    lang = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: SimpleNamespace(totalMemory=lambda: total, maxMemory=lambda: 1000)), System=SimpleNamespace(gc=lambda: found.append(1)))
+    scratch._let_go(SimpleNamespace(sparkContext=SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=lang)))))
+    assert len(found) == times
+
+
+def test_freed_memory_is_given_back(spark):
+    scratch._trim(spark)  # no error: the command is there and can be reached
