@@ -129,6 +129,22 @@ def test_features_in_rounds_are_as_at_once(spark, monkeypatch):
     assert sum(len({r.a for r in rows}) for rows in of_round) == len({r.a for r in want})
 
 
+def test_best_pairs_in_rounds_are_as_at_once(spark, monkeypatch):
+    a, b, _ = linkage.registers(spark, SMALL)
+    ka, kb = linkage.sides(spark, SMALL)
+    want = sorted(blocking.best_of_a(ka, kb, a, b, linkage.cut, 5).collect())
+    monkeypatch.setattr(blocking, "TILE", 500)
+    monkeypatch.setattr(blocking, "ROUND", 100_000)
+    of_round = []
+
+    def in_turn(parts):
+        of_round.extend(linkage.cut(p) for p in parts)
+        return features.all_of(of_round)
+
+    assert sorted(blocking.best_of_a(ka, kb, a, b, linkage.cut, 5, in_turn).collect()) == want
+    assert len(of_round) > 1 and sum(r.select("a").distinct().count() for r in of_round) == len({r.a for r in want})
+
+
 def test_rounds_of_a_grid():
     assert tiles.rounds(6, 100, 1000, 1) == [range(6)]
     assert tiles.rounds(6, 600, 200, 1) == [range(2), range(2, 4), range(4, 6)]
