@@ -1,3 +1,4 @@
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -82,3 +83,25 @@ def test_a_large_heap_is_collected(monkeypatch, total, times):
 
 def test_freed_memory_is_given_back(spark):
     scratch._trim(spark)  # no error: the command is there and can be reached
+
+
+def test_memory_is_given_back_while_a_learner_works(spark, monkeypatch):
+    looks = []
+    monkeypatch.setattr(scratch, "PAUSE", 0.02)
+    monkeypatch.setattr(scratch, "_let_go", lambda spark: looks.append(1) or True)
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 7 > 3)) for i in range(100)], "a int, x double, y double")
+    model.fit(rows, ["x"], model.boosted(maxIter=2, maxDepth=2))
+    assert len(looks) > 2
+    time.sleep(0.3)
+    n = len(looks)
+    time.sleep(0.3)
+    assert len(looks) == n  # and not afterwards
+
+
+def test_learners_have_few_parts(spark, monkeypatch):
+    monkeypatch.setattr(model, "PARTS", 2)
+    n, fitted = 2 * spark.sparkContext.defaultParallelism, []
+    monkeypatch.setattr(model.Pipeline, "fit", lambda self, rows: fitted.append(rows))
+    rows = spark.range(0, 1000, 1, 5 * n).selectExpr("id AS a", "double(id) AS x", "double(id % 2) AS y")
+    model.fit(rows, ["x"])
+    assert fitted[0].rdd.getNumPartitions() == n and fitted[0].count() == 1000

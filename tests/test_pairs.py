@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from coalign.functions.vocabulary import KEY_TYPES
-from coalign.operators import blocking, features, keys, mine, tiles
+from coalign.operators import blocking, features, keys, mine, model, tiles
 from coalign.plans import linkage
 
 SMALL = "/root/testdata/sf0.001"
@@ -150,3 +150,29 @@ def test_rounds_of_a_grid():
     assert tiles.rounds(6, 600, 200, 1) == [range(2), range(2, 4), range(4, 6)]
     assert tiles.rounds(5, 500, 1, 1) == [range(i, i + 1) for i in range(5)]
     assert tiles.rounds(5, 500, 1, 8) == [range(2), range(2, 4), range(4, 5)]  # tiles for all tasks
+
+
+def test_ranker_is_judged_on_all_pairs_without_a_table_of_them(spark, monkeypatch):
+    pairs, truth = linkage.scored_pairs(spark, SMALL).drop("country").withColumn("hand", F.col("cheap")), linkage.registers(spark, SMALL)[2]
+    wanted = sorted(model.ranker_sample(model.labelled(pairs, truth)).collect())
+
+    def scored(*_):
+        raise AssertionError("all pairs were made a table")
+
+    monkeypatch.setattr(linkage, "scored_pairs", scored)
+    monkeypatch.setattr("coalign.plans.queries.scored_pairs", scored)
+    monkeypatch.setattr(blocking, "TILE", 500)
+    monkeypatch.setattr(blocking, "ROUND", 100_000)
+    rankers, rounds, real, parts = [], [], model.train_ranker, blocking.scored_in_rounds
+
+    def train(rows, *x, **y):
+        assert sorted(rows.select(pairs.columns + ["y", "_check"]).collect()) == sorted(tuple(r[c] for c in [*pairs.columns, "y", "_check"]) for r in wanted)
+        rankers.append(real(rows, *x, maxIter=3, **y))
+        return rankers[-1]
+
+    monkeypatch.setattr(model, "train_ranker", train)
+    monkeypatch.setattr(blocking, "scored_in_rounds", lambda made: (rounds.append(1) or x for x in parts(made)))
+    got = sorted(linkage.ranker_recall(spark, SMALL).collect())
+    monkeypatch.undo()
+    want = blocking.recall_by(model.learned_score(rankers[0], pairs), truth, {"learned": "cheap", "hand": "hand"}, pairs.count())
+    assert len(rounds) > 3 and got == sorted(want.collect()) and got[0].learned < 1
