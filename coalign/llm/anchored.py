@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, chunked, cut, cut_buckets, lean, lean_group, mix, powers, unpack, word_bounds, word_hashes
+from .common import _BYTE, chunked, cut, cut_buckets, lean, lean_group, mix, powers, relieve, unpack, word_bounds, word_hashes
 
 BLOB = "part int, chunk long, kind int, body binary"
 _BLOB_TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
@@ -444,13 +444,22 @@ def removed_units(scheme: Scheme, c: Candidates, masks: dict[int, bytes], keys:
 
 
 def drop_repeats(docs: DataFrame, scheme: Scheme, order: Callable, write: Callable, schema: str, id_col: str, text_col: str, router: Callable | None = None) -> DataFrame:
-    """The five steps. ``write(raw, offsets, units, unit offsets, removed, keys, has_id)`` makes the result of a chunk."""
+    """The five steps. ``write(raw, offsets, units, unit offsets, removed, keys, has_id)`` makes the result of a chunk.
+
+    Chunks pass through the executors' heaps as values of megabytes, by which these
+    grow in each step; so they are collected between the steps.
+    """
+    spark = docs.sparkSession
+    relieve(spark)  # of what came before
     chunks = cut_buckets(chunked(docs, id_col, text_col, scheme.chunk_bytes), "chunk")
+    relieve(spark)
     size = chunks.agg(F.sum(F.octet_length("body")), F.count(F.lit(1))).first()
     parts = max(1, -(-(size[0] or 0) // scheme.part_bytes))
     route = router(chunks, parts) if router else None
     bits = cut(repeated(chunks, scheme, parts))
+    relieve(spark)
     masks = cut(covered(runs(chunks, bits, scheme, parts, route), scheme, order))
+    relieve(spark)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         _, body, back = _sides(left, right)

@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coalign.sources.scratch import cut, cut_buckets, drop
+from coalign.sources.scratch import cut, cut_buckets, drop, relieve
 
-__all__ = ["cut", "cut_buckets", "drop"]
+__all__ = ["cut", "cut_buckets", "drop", "relieve"]
 
 #: White space of every operator here: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
